@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, exact_dedup, lang_id, mixing, neighbours, simhash, token_counts, url_filter
+from millrace.llm import bpe, chat_format, exact_dedup, lang_id, mixing, neighbours, simhash, substring_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_odds")
@@ -80,6 +84,7 @@ def queries() -> dict:
         for f in (
             op1_exact_dedup,
             op2_simhash_dedup,
+            op3_substring_dedup,
             op4_url_filter,
             op5_nearest_neighbours,
             op6_chat_format,
