@@ -17,7 +17,7 @@ STORED, FAILED = "Image uploaded successfully", "Image upload failed"
 
 
 def scan_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(name, content, modified) of the files of a folder."""
+    """(name, content, modified) of the files of a folder; empty files hold nothing and are not listed."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.col("modificationTime").alias("modified"))
 
