@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -19,7 +24,7 @@ from pyspark.sql import types as T
 _OPENING_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_RUN = re.compile(r" \s")
 #: Distinct chunks that a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,10 +52,10 @@ def _field(number: int, value: bytes | int | float) -> bytes:
 
 def _mapped(data: bytes) -> str:
     """Bytes as characters from U+0100 on, so that a piece is a string without spaces whatever its bytes."""
-    return data.decode("latin-1").translate(_SHIFT)
+    return codecs.charmap_decode(data, "strict", _SHIFT)[0]
 
 
-_SHIFT = {b: 0x100 + b for b in range(256)}
+_SHIFT = "".join(chr(0x100 + b) for b in range(256))
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
@@ -68,59 +73,111 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, identity)
 
 
+def cut(text: str) -> list[str]:
+    """Parts of a text, cut at spaces between two non-space characters; a chunk is a part with the space before it.
+
+    Such a space always opens a pre-token, so what holds for the chunks one by one holds for the text.
+    """
+    if text.endswith(" ") or _SPACE_RUN.search(text):
+        return _OPENING_SPACE.split(text)
+    return text.split(" ")
+
+
+class Chunks:
+    """Remembers a row number for every chunk seen; ``learn`` gets new chunks and must append a row for each."""
+
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None]) -> None:
+        self.learn, self.forget = learn, forget
+        self.first: dict[str, int] = {}
+        self.later: dict[str, int] = {}
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers of all chunks of all texts, and where each text's begin, with the end last."""
+        if len(self.first) + len(self.later) > MEMO:
+            self.first, self.later = {}, {}
+            self.forget()
+        parts = [cut(t) for t in texts]
+        known = self.later.get
+        found = [[self.first.get(p[0]), *map(known, p[1:])] for p in parts]
+        if gaps := [i for i, r in enumerate(found) if None in r]:
+            heads = {parts[i][0] for i in gaps} - self.first.keys()
+            tails = {p for i in gaps for p, r in zip(parts[i][1:], found[i][1:]) if r is None}
+            new = [*heads, *(" " + p for p in tails)]
+            at = len(self.first) + len(self.later)
+            self.learn(new)
+            self.first.update(zip(heads, range(at, at + len(heads))))
+            self.later.update(zip(tails, range(at + len(heads), at + len(new))))
+            for i in gaps:
+                found[i] = [self.first[parts[i][0]], *map(self.later.__getitem__, parts[i][1:])]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        rows = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+        return rows, np.r_[0, np.cumsum(sizes)]
+
+
+def gather(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that the rows stand for, joined, and the running lengths with 0 first."""
+    size = sizes[rows]
+    ends = np.cumsum(size)
+    at = np.repeat(starts[rows] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return flat[at], np.r_[0, ends]
+
+
 class Codec:
     """Encodes and decodes with one vocabulary.
 
-    The pattern cuts a text into pre-tokens. A pre-token that is in the vocabulary is its own id; others go through
-    the sentencepiece model, which merges by rank as byte-pair encoding does. A space between two non-space
-    characters always opens a pre-token, so texts are handled chunk by chunk, and chunks seen before are looked up.
+    The pattern cuts chunks into pre-tokens. A pre-token that is in the vocabulary is its own id; others go through
+    the sentencepiece model, which merges by rank as byte-pair encoding does. Ids of chunks seen before are looked up.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, order = ranks, sorted(ranks.items(), key=lambda x: x[1])
-        self.id_of_piece, self.bytes_of = [r for _, r in order], {r: t for t, r in order}
+        self.id_of_piece = [r for _, r in order]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         # White space is the Unicode property, as in the library whose ids these are.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.memo: dict[str, list[int]] = {}
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        cut = [chunks(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        if new := list({c for cs in cut for c in cs if c not in memo}):
-            self._learn(new)
-        out = []
-        for cs in cut:
-            ids: list[int] = []
-            for c in cs:
-                ids += memo[c]
-            out.append(ids)
-        return out
+        self.chunks = Chunks(self._learn, self._forget)
+        self._forget()
+        self.token_size = np.full(max(self.id_of_piece) + 1, -1, dtype=np.int64)
+        self.token_size[self.id_of_piece] = [len(t) for t, _ in order]
+        self.token_start = np.cumsum(np.maximum(self.token_size, 0)) - np.maximum(self.token_size, 0)
+        self.token_bytes = np.frombuffer(b"".join(t for t, _ in order), dtype=np.uint8)
+
+    def _forget(self) -> None:
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
 
     def _learn(self, new: list[str]) -> None:
-        tokens = [[p.encode("utf-8", "surrogatepass") for p in self.find(c)] for c in new]
-        unknown = list({p for ps in tokens for p in ps if p not in self.ranks})
+        # A space and letters need no pattern.
+        tokens = [[c] if c[1:].isalpha() and c[0] == " " else self.find(c) for c in new]
+        tokens = [[p.encode("utf-8", "surrogatepass") for p in ps] for ps in tokens]
+        unknown = list({p for ps in tokens for p in ps} - self.ranks.keys())
         coded = self.model.encode([_mapped(p) for p in unknown], num_threads=1) if unknown else []
         ids_of = {p: [self.id_of_piece[i] for i in ids] for p, ids in zip(unknown, coded)}
-        for c, ps in zip(new, tokens):
-            ids: list[int] = []
+        for ps in tokens:
+            self.starts.append(len(self.flat))
             for p in ps:
-                ids += [self.ranks[p]] if p in self.ranks else ids_of[p]
-            self.memo[c] = ids
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-
-def chunks(text: str) -> list[str]:
-    """Pieces that join to the text, cut before spaces that open a pre-token."""
-    if text.endswith(" ") or _SPACE_RUN.search(text):
-        parts = _OPENING_SPACE.split(text)
-    else:
-        parts = text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
+                if p in self.ranks:
+                    self.flat.append(self.ranks[p])
+                else:
+                    self.flat.extend(ids_of[p])
+            self.sizes.append(len(self.flat) - self.starts[-1])
+
+    def encode_all(self, texts: list[str]) -> pa.ListArray:
+        rows, begin = self.chunks.rows(texts)
+        views = [np.frombuffer(a, dtype=t) if len(a) else np.zeros(0, t) for a, t in ((self.starts, np.int64), (self.sizes, np.int64), (self.flat, np.int32))]
+        ids, upto = gather(rows, *views)
+        return pa.ListArray.from_arrays(pa.array(upto[begin], pa.int32()), pa.array(ids, pa.int32()))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of lists of ids; null gives null."""
+        lists = ids.fill_null([]) if ids.null_count else ids
+        values = np.asarray(lists.flatten()).astype(np.int64)
+        if len(values) and (values.min() < 0 or values.max() >= len(self.token_size) or (self.token_size[values] < 0).any()):
+            raise ValueError("an id is outside the vocabulary")
+        data, upto = gather(values, self.token_start, self.token_size, self.token_bytes)
+        counts = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+        ends = upto[np.r_[0, np.cumsum(counts)]].astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+        return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary())) if ids.null_count else out
 
 
 @lru_cache(maxsize=2)
@@ -134,49 +191,71 @@ def _vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", rows: int = 64) -> DataFrame:
-    """Adds the token ids of every whole text (array<int>), without special tokens.
+def _encoder(data: bytes, pattern: str, at: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(data, pattern)
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                ids = codec.encode_all([t or "" for t in batch.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, IDS])
 
-    The vocabulary file is read once by the driver and travels with the tasks. Texts are handled ``rows`` at a time.
-    Cases: null counts as empty and has no ids; a column of the added name is replaced; other columns, repeated rows
-    and empty tables pass as they are. Runs of spaces and other odd texts go through the pattern as they stand.
-    """
-    docs = docs.drop(ids_col)
-    data, at = _vocabulary(vocabulary), docs.columns.index(text_col)
+    return run
 
+
+def _decoder(data: bytes, pattern: str, at: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, pattern)
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
-                ids = codec.encode_all([t or "" for t in batch.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
+                yield pa.RecordBatch.from_arrays([*batch.columns, codec.decode_all(batch.column(at))], names=[*batch.schema.names, DECODED])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return run
 
 
-def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
-    """Adds the bytes that a column of ids stands for; null ids give null, an id outside the vocabulary is an error."""
-    docs = docs.drop(bytes_col)
-    data, at = _vocabulary(vocabulary), docs.columns.index(ids_col)
+def _with(docs: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([*docs.schema.fields, *fields])
+
+
+IDS, DECODED = "token_ids", "decoded"
+_IDS_FIELD, _DECODED_FIELD = T.StructField(IDS, T.ArrayType(T.IntegerType())), T.StructField(DECODED, T.BinaryType())
+
+
+def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", rows: int = 64) -> DataFrame:
+    """Adds ``token_ids``, the token ids of every whole text (array<int>), without special tokens.
+
+    The vocabulary file is read once by the driver and travels with the tasks. Texts are handled ``rows`` at a time.
+    Cases: null counts as empty and has no ids; a column of the added name is replaced; other columns, repeated rows
+    and empty tables pass as they are. Runs of spaces and other odd texts go through the pattern as they stand.
+    """
+    docs = docs.drop(IDS)
+    run = _encoder(_vocabulary(vocabulary), pattern, docs.columns.index(text_col), rows)
+    return docs.mapInArrow(run, _with(docs, _IDS_FIELD))
+
+
+def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = IDS, rows: int = 64) -> DataFrame:
+    """Adds ``decoded``, the bytes that a column of ids stands for; null gives null, an id outside the vocabulary is an error."""
+    docs = docs.drop(DECODED)
+    return docs.mapInArrow(_decoder(_vocabulary(vocabulary), "", docs.columns.index(ids_col), rows), _with(docs, _DECODED_FIELD))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data, "")
-        for batch in batches:
-            out = [None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, bytes_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
+def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", rows: int = 64) -> DataFrame:
+    """Adds ``token_ids`` and, decoded from them, ``decoded``, in one pass through one Python worker."""
+    docs = docs.drop(IDS, DECODED)
+    data = _vocabulary(vocabulary)
+    encode = _encoder(data, pattern, docs.columns.index(text_col), rows)
+    decode = _decoder(data, pattern, len(docs.columns), rows)
+    return docs.mapInArrow(lambda batches: decode(encode(batches)), _with(docs, _IDS_FIELD, _DECODED_FIELD))
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes the texts: (id, n_tokens, ids_sha256, decoded_sha256)."""
-    coded = bpe_encode(docs.select(id_col, text_col), vocabulary, pattern, text_col).select(id_col, "token_ids")
-    read = bpe_decode(coded, vocabulary)
-    told = F.array_join(F.col("token_ids").cast("array<string>"), ",")
+    read = bpe_round_trip(docs.select(id_col, text_col), vocabulary, pattern, text_col)
+    told = F.array_join(F.col(IDS).cast("array<string>"), ",")
     return read.select(
         id_col,
-        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.size(IDS).cast("long").alias("n_tokens"),
         F.sha2(told, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2(DECODED, 256).alias("decoded_sha256"),
     )

@@ -5,16 +5,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bpe import MEMO, chunks
+from millrace.llm.bpe import Chunks
 from millrace.llm.shared import BROADCAST_ROWS, fresh_path, materialize
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
@@ -28,8 +30,9 @@ class Counter:
     """
 
     def __init__(self, data: bytes, kind: str) -> None:
-        self.memo: dict[str, int] = {}
         self.by_chunk = False
+        self.chunks = Chunks(lambda new: self.known.extend(self.count(new)), self._forget)
+        self._forget()
         if kind == ".model":
             model = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
@@ -46,16 +49,15 @@ class Counter:
         else:
             raise ValueError(f"no library for {kind} files")
 
-    def __call__(self, texts: list[str]) -> list[int]:
+    def _forget(self) -> None:
+        self.known = array("q")
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
         if not self.by_chunk:
-            return self.count(texts)
-        cut = [chunks(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        if new := list({c for cs in cut for c in cs if c not in memo}):
-            memo.update(zip(new, self.count(new)))
-        return [sum(map(memo.__getitem__, cs)) for cs in cut]
+            return np.array(self.count(texts), dtype=np.int64)
+        rows, begin = self.chunks.rows(texts)
+        upto = np.r_[0, np.cumsum(np.frombuffer(self.known, dtype=np.int64)[rows])]
+        return np.diff(upto[begin])
 
 
 @lru_cache(maxsize=2)
@@ -68,10 +70,10 @@ def _encode(data: bytes, kind: str, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(data, kind)
         for batch in batches:
-            counts: list[int] = []
             for start in range(0, batch.num_rows, rows):
-                counts += counter(batch.column(1).slice(start, rows).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+                part = batch.slice(start, rows)
+                counts = counter(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
