@@ -16,6 +16,8 @@ from millrace.llm.shared import materialize, sized_broadcast
 TREES, DEPTH = 8, 6
 #: Leaves that a query opens, of TREES * 2**DEPTH. 96 of 512 keep recall above 0.9 on vectors without any structure.
 PROBES = 96
+#: Entries that the opened leaves hold together at least; so small tables are searched whole.
+LEAST = 2048
 #: Vectors that the splits are fitted on; every vector is indexed.
 FIT_ROWS = 20_000
 #: Members and queries of a leaf that a task holds at a time.
@@ -51,19 +53,26 @@ class Forest:
             out[:, t] = (node - (1 << self.depth)) + (t << self.depth)
         return out
 
-    def probe(self, query: np.ndarray, probes: int) -> list[int]:
-        """Leaves of all trees in one order: least sum of squared distances to the cuts that were crossed."""
+    def probe(self, query: np.ndarray, probes: int, held: list[int]) -> list[int]:
+        """Leaves of all trees in one order: least sum of squared distances to the cuts that were crossed.
+
+        Goes on until ``probes`` leaves are open and hold LEAST entries; held: entries of each leaf. Empty leaves are
+        passed over.
+        """
         side = np.einsum("tnd,d->tn", self.normals, query) - self.cuts
         margin, inner, found = (side**2).tolist(), 1 << self.depth, []
         above = (side > 0).tolist()
-        queue = [(0.0, t, 1) for t in range(self.trees)]
-        while queue and len(found) < probes:
+        queue, entries = [(0.0, t, 1) for t in range(self.trees)], 0
+        while queue and (len(found) < probes or entries < LEAST):
             far, t, node = heapq.heappop(queue)
             while node < inner:
                 near = 2 * node + above[t][node]
                 heapq.heappush(queue, (far + margin[t][node], t, near ^ 1))
                 node = near
-            found.append(node - inner + (t << self.depth))
+            leaf = node - inner + (t << self.depth)
+            if held[leaf]:
+                found.append(leaf)
+                entries += held[leaf]
         return found
 
 
@@ -95,7 +104,8 @@ def nearest(
 
     Equal vectors are one entry of the index with their k + 1 smallest ids, so a vector that fills a third of the
     table is compared once. The splits are fitted on about ``fit_rows`` distinct vectors drawn by hash; every vector
-    is indexed in every tree. A query opens its ``probes`` best leaves over all trees, taken from one priority queue.
+    is indexed in every tree. A query opens its ``probes`` best leaves over all trees, taken from one priority queue, and more until
+    they hold LEAST entries.
     Members and queries of a leaf meet in blocks of bounded size, all blocks of the leaf; what is found there is
     scored exactly, and the best of all blocks are merged. Nothing is cut but by rank.
 
@@ -127,7 +137,7 @@ def nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [forest.probe(q, probes) for q in _matrix(batch.column(1), dim)]
+                found = [forest.probe(q, probes, held) for q in _matrix(batch.column(1), dim)]
                 at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 leaf = pa.array(np.concatenate(found).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([leaf, batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "e", "v"])
@@ -135,10 +145,13 @@ def nearest(
     kind = rows.schema[id_col].dataType.simpleString()
     shape = f"leaf int, e {kind}, v array<double>"
     members = entries.select("e", "v").mapInArrow(place, shape)
+    held = [0] * (forest.trees << forest.depth)
+    for leaf, size in members.groupBy("leaf").count().collect():  # a row a leaf, TREES * 2**DEPTH at most
+        held[leaf] = size
     seekers = entries.join(asked.select("e").distinct(), "e", "left_semi").select("e", "v").mapInArrow(search, shape)
     in_leaf = lambda df, most, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
     blocks = in_leaf(members, MEMBERS, "ms").join(in_leaf(seekers, QUERIES, "qs"), "leaf")
-    blocks = F.broadcast(materialize(blocks, "ann-blocks"))  # a row a leaf, TREES * 2**DEPTH at most
+    blocks = F.broadcast(materialize(blocks, "ann-blocks"))  # as few rows
 
     def dealt(df: DataFrame, own: str, others: str) -> DataFrame:
         part = F.pmod(F.xxhash64("e"), F.col(own)).cast("int")
