@@ -103,12 +103,10 @@ def exact_split(df: DataFrame, row_id: str, fraction: float, seed: str = "") ->
 def standard_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x - mean) / population deviation of each column; a column that does not vary becomes 0.
 
-    The statistics are one row, which a join without keys hands to every task; rows are not shuffled.
+    The statistics are one row, two numbers a column, and go into the plan as literals; rows are not shuffled.
     """
-    stats = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    joined = df.crossJoin(F.broadcast(stats))
-    scaled = {c: (F.col(c) - F.col(f"__m_{c}")) / F.coalesce(F.nullif(F.col(f"__s_{c}"), F.lit(0.0)), F.lit(1.0)) for c in columns}
-    return joined.withColumns(scaled).select(df.columns)
+    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in columns})
 
 
 def standardize_group(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:

@@ -5,6 +5,7 @@ Floating-point results are rounded to six decimals, in the SQL as well.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from millrace.functions import scalars as fn
 from millrace.operators import forest, matrix, relational, statistics, volumes
 from millrace.plans.registry import Registry
 from millrace.sources.tables import long_features, scan
+from millrace.sources.volumes import encode, volume_rows
 
 R = Registry()
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -32,6 +34,15 @@ def s1_feature_matrix(spark, sf):
     return _features(spark, sf).withColumn("value", F.round("value", 6))
 
 
+@R.add(_LONG + "SELECT vec_id AS x, pos AS t, round(value, 6) AS value FROM f WHERE vec_id < 64 AND pos < 12")
+def s3_open_volume(spark, sf):
+    """A small image is written as a file's bytes and opened again."""
+    rows = scan(spark, sf, "embeddings").where("vec_id < 64").orderBy("vec_id").select("embedding").collect()
+    content = encode(np.array([r[0][:12] for r in rows], dtype=float)[:, None, None, :])
+    opened = volume_rows(spark.createDataFrame([("subject.nii", content)], "path string, content binary"))
+    return opened.select(F.col("x").cast("long").alias("x"), "t", F.round("value", 6).alias("value"))
+
+
 def _describe_sql(c: str) -> str:
     q = ", ".join(f"round(quantile_cont({c}, 0.{p}), 4) AS q{p}" for p in (25, 5, 75)).replace("q5,", "q50,").replace("AS q5 ", "AS q50 ")
     return f"""SELECT '{c}' AS "column", count({c}) AS "count", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,

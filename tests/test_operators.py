@@ -1,3 +1,4 @@
+import gzip
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from millrace.functions import scalars as fn
 from millrace.operators import forest, matrix, relational, statistics, volumes
 from millrace.plans import feature_queries
 from millrace.sources import uploads
+from millrace.sources import volumes as source
 from millrace.sources.tables import json_rows, scan
 
 
@@ -150,6 +152,16 @@ def test_smoothing_keeps_the_sum_inside(spark):
     assert out.where("value > 0").agg(F.max(F.struct("value", "x", "y", "z")).alias("m")).first().m[1:] == (2, 2, 2)
 
 
+def test_volume_files(spark, tmp_path):
+    cells = np.arange(2 * 3 * 4 * 5, dtype=float).reshape(2, 3, 4, 5)
+    (tmp_path / "a.nii").write_bytes(source.encode(cells))
+    (tmp_path / "b.nii.gz").write_bytes(gzip.compress(source.encode(cells + 1)))
+    got = {(r.path[-1], r.x, r.y, r.z, r.t): r.value for r in source.scan_volumes(spark, f"file://{tmp_path}").collect()}
+    assert len(got) == 240 and all(v == cells[k[1:]] + (k[0] == "z") for k, v in got.items())
+    with pytest.raises(ValueError):
+        source.decode(b"\0" * 400)
+
+
 def test_component_queries_run(spark, sf):
     shares = feature_queries.a2_explained_variance(spark, sf).orderBy("component").collect()
     assert len(shares) == 64 and shares[-1].cum_pct == pytest.approx(100)
