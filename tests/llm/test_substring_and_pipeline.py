@@ -106,7 +106,8 @@ def test_every_long_enough_stretch_has_an_anchored_window():
     for _ in range(30):
         h = np.concatenate([rng.integers(0, 1 << 63, rng.integers(0, 90), dtype=np.uint64), shared, rng.integers(0, 1 << 63, rng.integers(0, 90), dtype=np.uint64)])
         at = substring_dedup.anchors(substring_dedup._rolled(h, 5), len(h) - 30)
-        keys.append(set(substring_dedup._rolled(h, 30, at).tolist()))
+        assert (substring_dedup._rolled_at(h, 30, at) == substring_dedup._rolled(h, 30)[at]).all()
+        keys.append(set(substring_dedup._rolled_at(h, 30, at).tolist()))
     assert set.intersection(*keys)
 
 
