@@ -8,6 +8,8 @@ encodes what is left and decodes it again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +18,22 @@ from millrace.llm import bpe, exact_dedup, lang_id, mixing, simhash
 from millrace.llm.shared import free_name, materialize
 
 
+def _beside(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stage whose operator adds columns; columns of the input with such names step aside meanwhile."""
+    aside, names = {}, docs
+    for c in docs.columns:
+        if c.lower() in added:
+            aside[c] = free_name(names, f"kept_{c}")
+            names = names.withColumnRenamed(c, aside[c])
+    return stage(names).drop(*added).withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lang_id.learn_and_identify(docs)
-    return found.where(F.col("lang_pred") != lang_id.UNKNOWN).select(docs.columns)
+    return _beside(docs, ("lang_pred", "score"), lambda d: lang_id.learn_and_identify(d).where(F.col("lang_pred") != lang_id.UNKNOWN))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(docs).where("kept").select(docs.columns)
+    return _beside(docs, ("keep_id", "group_size", "kept"), lambda d: exact_dedup.exact_dedup(d).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +41,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pass_no = free_name(docs, "pass_no")
-    mixed = mixing.mix_sources(docs).where("copies > 0")
-    return mixed.withColumn(pass_no, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """A document that the mix takes twice is two rows."""
+
+    def mix(d: DataFrame) -> DataFrame:
+        mixed = mixing.mix_sources(d).where("copies > 0")
+        return mixed.withColumn(free_name(mixed, "pass_no"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+
+    return _beside(docs, ("size", "source_size", "target", "copies", "taken"), mix)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,8 +93,9 @@ def test_every_pair_within_the_bits_shares_a_key():
         assert any(a & int(k) == b & int(k) for k in keys)
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "none"])
-def test_components(spark, shape):
+@pytest.mark.parametrize(("shape", "heavy"), [("chain", 3), ("star", 200_000), ("star", 20), ("none", 3)])
+def test_components(spark, shape, heavy, monkeypatch):
+    monkeypatch.setattr(components, "HEAVY", heavy)
     n = 400
     order = list(range(n))
     random.Random(3).shuffle(order)
