@@ -41,7 +41,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
+    no = F.col("id")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), no.alias("turn"), F.when(no == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text")
+    )
     done = chat_format.format_chat(turns.unionByName(extra))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat_format.loss_text(F.col("segments"))
@@ -103,5 +106,32 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+
+def _op6_sql() -> str:
+    """Turns straight from the table; the length from the template's rule: a conversation in which any content holds a
+    control string, or would be changed by unescaping, is escaped."""
+    opening, close, end, esc = chat_format.OPEN, chat_format.CLOSE, chat_format.END, chat_format.ESCAPE
+    marks = [(c, c[0] + esc + c[1:]) for c in chat_format.CONTROLS]
+
+    def nested(text: str, pairs: list[tuple[str, str]]) -> str:
+        for old, new in pairs:
+            text = f"replace({text}, '{old}', '{new}')"
+        return text
+
+    escaped = lambda c: nested(c, [(esc, esc * 2), *marks])
+    plain = lambda c: nested(c, [*((b, a) for a, b in marks), (esc * 2, esc)])
+    conflict = " OR ".join(f"{plain(c)} <> {c} OR " + " OR ".join(f"contains({c}, '{m}')" for m in chat_format.CONTROLS) for c in ("role", "text"))
+    each = len(opening + close + end)
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, bool_or({conflict}) AS risky,
+  sum(length(role) + length(text) + {each}) AS short, sum(length({escaped("role")}) + length({escaped("text")}) + {each}) AS long FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+ CAST(CASE WHEN risky THEN long ELSE short END AS BIGINT) AS formatted_chars, true AS identical FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL}
+    return {"op1_exact_dedup": _OP1_SQL, "op6_chat_format": _op6_sql()}

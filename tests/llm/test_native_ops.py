@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.llm import chat_format, exact_dedup, mixing
 from millrace.llm import queries as Q
 
+from ..oracle import compare
 from .helpers import AWKWARD, docs, sha
 
 
@@ -100,6 +101,11 @@ def test_mix_sources_awkward(spark):
     assert mixing.mix_sources(docs(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(spark, sf, name):
+    compare(spark, Q.queries()[name], Q.oracle_sql()[name], sf)
+
+
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
 
