@@ -1,50 +1,16 @@
-"""What the operators of this subpackage share: durable intermediate tables and small column helpers."""
+"""What the operators of this subpackage share; durable intermediate tables come from the library's workspace."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a narrow key table that may be broadcast. Beyond it the join shuffles; results are the same.
-BROADCAST_ROWS = 500_000
-
-
-def workspace(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``).
-
-    Where the setting is absent a local master gets a folder of its own; on a cluster that is an error, because
-    executors do not see each other's disks.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+from millrace.sources.workspace import discard, fresh_path, materialize, workspace
 
+__all__ = ["BROADCAST_ROWS", "discard", "free_name", "fresh_path", "materialize", "sized_broadcast", "workspace"]
 
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{workspace(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again: lineage ends there and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``materialize`` made; it must not be read again."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/millrace/" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of a narrow key table that may be broadcast. Beyond it the join shuffles; results are the same.
+BROADCAST_ROWS = 500_000
 
 
 def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
