@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import bound_batches, lean_worker
+
 #: A space that can be told to open a token: non-space on both sides.
 _OPENING_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPACE_RUN = re.compile(r" \s")
 #: Distinct chunks that a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -183,6 +185,7 @@ class Codec:
 @lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str) -> Codec:
     """ranks: lines of a rank file."""
+    lean_worker()
     return Codec({base64.b64decode(t): int(r) for t, r in map(bytes.split, filter(bytes.strip, ranks.split(b"\n")))}, pattern)
 
 
@@ -230,6 +233,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
     and empty tables pass as they are. Runs of spaces and other odd texts go through the pattern as they stand.
     """
     docs = docs.drop(IDS)
+    bound_batches(docs.sparkSession)
     run = _encoder(_vocabulary(vocabulary), pattern, docs.columns.index(text_col), rows)
     return docs.mapInArrow(run, _with(docs, _IDS_FIELD))
 
@@ -237,12 +241,14 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = IDS, rows: int = 64) -> DataFrame:
     """Adds ``decoded``, the bytes that a column of ids stands for; null gives null, an id outside the vocabulary is an error."""
     docs = docs.drop(DECODED)
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_decoder(_vocabulary(vocabulary), "", docs.columns.index(ids_col), rows), _with(docs, _DECODED_FIELD))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", rows: int = 64) -> DataFrame:
     """Adds ``token_ids`` and, decoded from them, ``decoded``, in one pass through one Python worker."""
     docs = docs.drop(IDS, DECODED)
+    bound_batches(docs.sparkSession)
     data = _vocabulary(vocabulary)
     encode = _encoder(data, pattern, docs.columns.index(text_col), rows)
     decode = _decoder(data, pattern, len(docs.columns), rows)

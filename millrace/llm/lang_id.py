@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import bound_batches, lean_worker
+
 #: Ranks of a profile, of a language and of a document.
 PROFILE = 300
 #: Longest n-gram.
@@ -147,9 +149,11 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_n
     empty tables pass as they are.
     """
     docs = docs.drop(lang_name, score_name)
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             found = [profiles.predict(t.as_py()) for t in batch.column(at)]
             added = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

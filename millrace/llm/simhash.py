@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.shared import free_name, materialize, sized_broadcast
+from millrace.llm.shared import bound_batches, free_name, lean_worker, materialize, sized_broadcast
 
 #: Shingles hashed at a time; bounds the memory that a long text takes.
 CHUNK = 1 << 16
@@ -135,6 +135,7 @@ def simhash_links(fingerprints: DataFrame, bits: int = 4, blocks: int = 6, part:
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["id", "tag", "fp"])
@@ -144,6 +145,7 @@ def _fingerprints(words: int):
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> DataFrame:
     """(id, tag, fp, root, component_id) of every row; tag is a hash of the text, root the component's smallest fp."""
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Chunks
-from millrace.llm.shared import BROADCAST_ROWS, fresh_path, materialize
+from millrace.llm.shared import BROADCAST_ROWS, bound_batches, fresh_path, lean_worker, materialize
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
@@ -62,6 +62,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def _counter(data: bytes, kind: str) -> Counter:
+    lean_worker()
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its own
     return Counter(data, kind)
 
@@ -107,6 +108,7 @@ def count_tokens(
     result; other columns are ignored. A null cache file column or another version never matches.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer, "rb") as f:
         data = f.read()
     kind = os.path.splitext(tokenizer)[1]
