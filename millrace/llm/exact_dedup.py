@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, free_name, materialize
+from millrace.llm.shared import BROADCAST_ROWS, free_name, materialize, sized_broadcast
 
 #: Characters whose hash is the second step's key.
 PREFIX_CHARS = 256
@@ -43,6 +43,8 @@ def exact_dedup(
     first = keyed.join(keys, [length, prefix], "left_anti").drop(length, prefix)
     rivals = keyed.join(keys, [length, prefix], "left_semi").withColumn(full, F.sha2(text, 256)).drop(length, prefix)
     groups = rivals.groupBy(full).agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
+    # Written first, so that both sides of the join are plain exchanges and adaptive execution can split a large group.
+    groups = sized_broadcast(materialize(groups, "dedup-groups"), broadcast_rows)
     # Only rows alike in id and text share a window partition, so a large group of copies is dealt out by its ids.
     again_by_id = Window.partitionBy(full, id_col).orderBy(F.lit(1))
     decided = (
