@@ -9,10 +9,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import materialize
+
 #: (verdict, host, path): fits the host and its subdomains where the path starts with the rule's.
 RULES = (
     ("allow", "org", "/"),
@@ -56,12 +58,20 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> tuple[dict[str, int], int]:
-    """Word counts over the visible text of all pages: the ``vocabulary`` most frequent words, and the sum over all."""
+    """Word counts over the visible text of all pages: the ``vocabulary`` most frequent words, and the sum over all.
+
+    Words are counted once and written. How often a word must occur follows from a histogram of the counts, so no
+    more than the vocabulary comes to the driver; words that tie at its end are left out together.
+    """
     shown = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), "<[^>]*>", " "))
-    words = pages.select(F.explode(F.split(shown, r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    words = pages.select(F.explode(F.split(shown, r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    words = materialize(words.groupBy("word").agg(F.count("*").alias("n")), "unigrams")
     total = words.agg(F.sum("n")).first()[0] or 0
-    top = words.where(F.length("word") <= LONGEST_WORD).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    return {r.word: r.n for r in top}, total
+    usual = words.where(F.length("word") <= LONGEST_WORD)
+    upto = F.sum("words").over(Window.orderBy(F.desc("n")))
+    often = usual.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).where(F.col("upto") <= vocabulary)
+    least = often.agg(F.min("n")).first()[0]
+    return ({r.word: r.n for r in usual.where(F.col("n") >= least).collect()} if least else {}), total
 
 
 class Segmenter:

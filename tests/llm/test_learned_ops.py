@@ -103,6 +103,15 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_unigrams_take_the_most_frequent_words(spark):
+    rows = [("<b class='x'>Aa bb</b> aa cc",), ("aa bb<br>dd ee " + "long" * 9,), (None,), ("",)]
+    pages = spark.createDataFrame(rows, "html string")
+    assert url_filter.unigrams(pages, vocabulary=2) == ({"aa": 3, "bb": 2}, 9)
+    assert url_filter.unigrams(pages, vocabulary=4) == ({"aa": 3, "bb": 2}, 9)
+    assert url_filter.unigrams(pages, vocabulary=5)[0] == {"aa": 3, "bb": 2, "cc": 1, "dd": 1, "ee": 1}
+    assert url_filter.unigrams(pages.limit(0)) == ({}, 0)
+
+
 def test_segmenter_finds_the_likeliest_split():
     counts = {"the": 50, "sun": 5, "flower": 4, "sunflower": 1, "s": 1, "hop": 3, "shop": 3}
     words = url_filter.Segmenter(counts, sum(counts.values()))
