@@ -35,6 +35,26 @@ def test_passages_of_the_table(spark, sf):
     assert {r.doc_id for r in got} <= set().union(*sharers(texts, 30)) | set().union(*similar_pairs(texts))
 
 
+def test_every_passage_stays_somewhere(spark):
+    rng = random.Random(6)
+    p, q = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    frame = docs(spark, [(1, p, "s", "en"), (2, q, "s", "en"), (3, f"{p}\n{q}", "s", "en")])
+    got = substring_dedup.repeated_passages(frame)
+    rows = Counter((r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got.collect())
+    assert rows == Counter([(1, 0, 60, 1, False), (2, 0, 60, 2, False), (3, 0, 60, 1, True), (3, 60, 60, 2, True)])
+    assert {r.doc_id: r.text for r in substring_dedup.cut_passages(frame, got).collect()} == {1: p, 2: q, 3: ""}
+
+    blocks, texts = [words(rng, 60) for _ in range(12)], {}
+    for i in range(40):  # hard-wrapped, so that there are only windows
+        w = [x for b in rng.sample(range(12), rng.randrange(1, 5)) for x in blocks[b]]
+        texts[i] = "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12))
+    frame = docs(spark, [(i, t, "s", "en") for i, t in texts.items()])
+    left = [" ".join(r.text.split()) for r in substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame)).collect()]
+    used = [b for b in map(" ".join, blocks) if any(b in " ".join(t.split()) for t in texts.values())]
+    assert len(used) > 9 and all(any(b in t for t in left) for b in used)
+    assert sum(len(t.split()) for t in left) < sum(len(t.split()) for t in texts.values()) / 2
+
+
 def similar_pairs(texts):
     paragraphs = defaultdict(list)
     for i, t in texts.items():
