@@ -253,7 +253,7 @@ def a8_mask_transform(spark, sf):
 def a9_independent_components(spark, sf):
     """Ten components of the voxels' series, normalised across components, cut at 0.8 deviations."""
     vectors = scan(spark, sf, "embeddings")
-    found = matrix.fast_ica(vectors, "embedding", _dim(vectors), 10, max_rounds=25)
+    found = matrix.fast_ica(vectors, "embedding", _dim(vectors), 10)
     rows = long_features(found.transform(vectors, "embedding"), "vec_id", "sources")
     scaled = statistics.standardize_group(rows, ["vec_id"], "value")
     return scaled.select("vec_id", F.col("pos").alias("component"), F.round(matrix.hard_threshold(F.col("value")), 6).alias("value"), F.lit(found.converged).alias("converged"))

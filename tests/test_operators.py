@@ -1,4 +1,5 @@
 import gzip
+import inspect
 import math
 
 import numpy as np
@@ -138,6 +139,20 @@ def test_ica_finds_sources(spark):
     assert (corr.max(axis=1) > 0.99).all() and sorted(corr.argmax(axis=1)) == [0, 1, 2, 3]
 
 
+def test_ica_query_has_all_rounds(spark, sf, monkeypatch):
+    calls, ica = [], matrix.fast_ica
+
+    def noted(*args, **more):
+        bound = inspect.signature(ica).bind(*args, **more)
+        bound.apply_defaults()
+        calls.append(bound.arguments["max_rounds"])
+        return ica(*args, **{**more, "max_rounds": 1})
+
+    monkeypatch.setattr(matrix, "fast_ica", noted)
+    feature_queries.a9_independent_components(spark, sf)
+    assert calls == [200]
+
+
 def test_forest_invariants(spark, sf):
     model, _, ranked, top, small, _ = feature_queries._forests(spark, sf)
     assert sum(r.importance for r in ranked.collect()) == pytest.approx(1) and len(set(top)) == 10
