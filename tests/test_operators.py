@@ -160,6 +160,12 @@ def test_forest_invariants(spark, sf):
     assert all(0 <= r.accuracy <= 1 for r in feature_queries.a6_forest_accuracy(spark, sf).collect())
 
 
+def test_forest_queries_fit_whole_forests(spark, sf):
+    model, _, _, _, small, _ = feature_queries._forests(spark, sf)
+    for fitted in (model, small):
+        assert fitted.getNumTrees == 100 and fitted.getOrDefault("maxDepth") == 30
+
+
 def test_smoothing_keeps_the_sum_inside(spark):
     cells = [(x, y, z, 0, 1.0 if (x, y, z) == (2, 2, 2) else 0.0) for x in range(5) for y in range(5) for z in range(5)]
     out = volumes.smooth(spark.createDataFrame(cells, "x int, y int, z int, t int, value double"), fwhm=2, reach=2)
