@@ -1,3 +1,4 @@
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -182,6 +183,51 @@ def test_neighbours_recall_and_scores(spark, sf):
         assert near == sorted(near, key=lambda n: (-n[1], n[0]))
 
 
+def test_clustered_vectors_open_few_leaves(spark):
+    """20,000 vectors of uneven length around 100 centres: recall, and the share of the table that a query is scored against."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((100, 64))[rng.integers(0, 100, 20_000)] + 0.4 * rng.standard_normal((20_000, 64))
+    x = np.float32(x * rng.uniform(0.9, 1.1, (20_000, 1))).astype(float)
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = found(neighbours.nearest(frame, F.col("vec_id") % 200 == 0))
+    want = {i: [(int(j), 0) for j in np.argsort(-(x @ x[i]), kind="stable") if j != i][:20] for i in range(0, 20_000, 200)}
+    assert recall(got, want) > 0.95
+
+    norm = float(np.linalg.norm(x, axis=1).max())
+    lifted = neighbours._lifted(x, norm)
+    forest = neighbours.Forest(lifted, len(x))
+    leaf = forest.leaves(lifted)
+    assert forest.depth == 9 and len(np.unique(leaf)) == 3 << 9
+    scored = []
+    for i in range(0, 20_000, 200):
+        q = neighbours._scaled(x[i : i + 1], norm)[0]
+        first = list(itertools.islice(forest.opened(q), neighbours.FIRST))
+        kth = np.sort(x[np.isin(leaf, first).any(axis=1)] @ x[i])[-21]
+        limit = neighbours.SLACK * 2 * norm * (norm - kth / np.linalg.norm(x[i])) / 65
+        scored.append(np.isin(leaf, [*first, *forest.opened(q, limit)]).sum() / len(x))
+    assert np.mean(scored) < 0.4
+
+
+def test_forest_queue_is_in_order_of_its_bounds():
+    rng = np.random.default_rng(3)
+    forest, q = neighbours.Forest(rng.standard_normal((4096, 8)), 1 << 20), rng.standard_normal(8)
+    assert forest.depth == 14 and [len(c) for c in forest.cuts[0]] == [1 << level for level in range(7)] + [1] * 7
+
+    def bound(leaf):
+        t, node, far = leaf >> forest.depth, leaf & ((1 << forest.depth) - 1), 0.0
+        for level, cuts in enumerate(forest.cuts[t]):
+            at = node >> (forest.depth - level)
+            margin = forest.normals[t, level] @ q - cuts[at if len(cuts) > 1 else 0]
+            far += margin**2 * ((margin > 0) != (node >> (forest.depth - level - 1) & 1))
+        return far
+
+    opened = list(itertools.islice(forest.opened(q), 500))
+    far = [bound(leaf) for leaf in opened]
+    assert len(set(opened)) == 500 and far == pytest.approx(sorted(far)) and far[:3] == pytest.approx([0, 0, 0])
+    within = list(forest.opened(q, far[99]))
+    assert within[:99] == opened[:99] and max(map(bound, within)) <= far[99] + 1e-9
+
+
 def test_neighbours_awkward(spark, monkeypatch):
     """A third of the rows share one vector; others are null, zero, infinite, short or repeated. All leaves are opened."""
     rng = np.random.default_rng(2)
@@ -194,7 +240,7 @@ def test_neighbours_awkward(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "MEMBERS", 100)
     monkeypatch.setattr(neighbours, "QUERIES", 7)
     query = F.col("vec_id") % 20 == 0
-    got, want = found(neighbours.nearest(frame, query, probes=512)), brute_nearest(fine)
+    got, want = found(neighbours.nearest(frame, query, slack=1e9)), brute_nearest(fine)
     assert {q: [i for i, _ in n] for q, n in got.items()} == {q: [i for i, _ in n] for q, n in want.items()}
     few = frame.where("vec_id in (0, 20, 301)")
     assert {q: [i for i, _ in n] for q, n in found(neighbours.nearest(few, query)).items()} == {q: [i for i, _ in n] for q, n in brute_nearest([f for f in fine if f[0] in (0, 20, 301)]).items()}
