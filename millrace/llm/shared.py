@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.workspace import discard, fresh_path, materialize, workspace
 
-__all__ = ["BROADCAST_ROWS", "bound_batches", "discard", "free_name", "fresh_path", "lean_worker", "materialize", "sized_broadcast", "workspace"]
+__all__ = ["BROADCAST_ROWS", "bound_batches", "discard", "free_name", "fresh_path", "join_sized", "lean_worker", "materialize", "sized_broadcast", "workspace"]
 
 #: Rows of a narrow key table that may be broadcast. Beyond it the join shuffles; results are the same.
 BROADCAST_ROWS = 500_000
@@ -36,6 +36,29 @@ def sized_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Keys that are dealt out one by one, at most; rows of a key that always stay together.
+HOT_KEYS, CHUNK = 50_000, 128
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, size: str = "n", how: str = "inner") -> DataFrame:
+    """Joins ``left`` with a stored table of one row a key, whose column ``size`` has the key's rows in ``left``.
+
+    A key may hold any share of the rows. One of more than a 50,000th of them (CHUNK at least) is dealt out evenly in
+    chunks of that size, and its row on the right goes to every chunk. So there are HOT_KEYS such keys at most, and
+    their list is broadcast. ``left`` has to come from a scan, for rows to have the same number in every attempt.
+    The size is left out of the result.
+    """
+    total = right.agg(F.sum(size)).first()[0] or 0
+    most = max(CHUNK, total // HOT_KEYS)
+    parts, part = free_name(left, "hot_parts"), free_name(left, "hot_part")
+    many = F.ceil(F.col(size) / most).cast("int")
+    hot = F.broadcast(materialize(right.where(F.col(size) > most).select(key, many.alias(parts)), "hot-keys"))
+    dealt = F.pmod(F.monotonically_increasing_id(), F.coalesce(parts, F.lit(1)).cast("long")).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col(size) > most, many).otherwise(1) - 1))
+    spread = left.join(hot, key, "left").withColumn(part, dealt).drop(parts)
+    return spread.join(right.withColumn(part, copies).drop(size), [key, part], how).drop(part)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that none of the frame's columns has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -4,9 +4,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 
 import corpus_pipeline
-from millrace.llm import bpe, substring_dedup
+from millrace.llm import bpe, shared, substring_dedup
 from millrace.llm import queries as Q
 
 from .helpers import AWKWARD, docs, sha
@@ -14,70 +15,133 @@ from .test_native_ops import brute_exact, brute_targets
 from .test_simhash import brute_components, brute_fingerprint, close
 
 
-def sharers(texts, n):
-    """Groups of ids whose texts share n words in a row."""
-    where = defaultdict(set)
-    for i, t in texts.items():
-        w = (t or "").lower().split()
-        for k in range(len(w) - n + 1):
-            where[tuple(w[k : k + n])].add(i)
-    return [g for g in where.values() if len(g) > 1]
+def brute_passages(texts, paragraph=substring_dedup.PARAGRAPH, run=51):
+    """texts: (id, text), ids unique, in their order. The job said again by words and pairs.
 
+    Returns of each document the words that go, those that stay as a first copy, its words, and the runs that must stay.
+    """
+    lines = [[line.split() for line in (t or "").lower().split("\n")] for _, t in texts]
+    words = [[w for line in ls for w in line] for ls in lines]
+    found = []
+    for d, ls in enumerate(lines):
+        at = 0
+        for line in ls:
+            if len(line) >= paragraph:
+                found.append((d, at, len(line), frozenset(tuple(line[k : k + 5]) for k in range(len(line) - 4))))
+            at += len(line)
+    near = lambda a, b: 4 * len(a) <= 5 * len(b) and 4 * len(b) <= 5 * len(a) and 10 * len(a & b) >= 8 * len(a | b)
+    sets = {f[3]: i for i, f in enumerate(found)}
+    low = brute_components([(i, i) for i in sets.values()], lambda a, b: near(found[a][3], found[b][3]))
+    classes = defaultdict(list)
+    for f in found:
+        classes[low[sets[f[3]]]].append(f[:3])
+    lost, stay = ([[False] * len(w) for w in words] for _ in range(2))
+    for own in classes.values():
+        if len({d for d, _, _ in own}) > 1:
+            for n, (d, at, size) in enumerate(sorted(own)):
+                (lost if n else stay)[d][at : at + size] = [True] * size
+    where = defaultdict(list)
+    for d, w in enumerate(words):
+        for k in range(len(w) - run + 1):
+            if not all(lost[d][k : k + run]):
+                where[tuple(w[k : k + run])].append((d, k))
+    shared = {g: sorted(at) for g, at in where.items() if len({d for d, _ in at}) > 1}
+    later, first = ([[False] * len(w) for w in words] for _ in range(2))
+    for at in shared.values():
+        for n, (d, k) in enumerate(at):
+            (later if n else first)[d][k : k + run] = [True] * run
+    goes = [[(a or b) and not c for a, b, c in zip(*x)] for x in zip(lost, later, first)]
+    stays = [[c or (p and not g) for c, p, g in zip(*x)] for x in zip(first, stay, goes)]
+    return goes, stays, words, shared
 
-def test_passages_of_the_table(spark, sf):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    got = Q.op3_substring_dedup(spark, sf).collect()
-    classes = defaultdict(set)
+
+def check_passages(spark, rows, frame=None):
+    """Rows by brute force, and that every run that is cut somewhere still stands in the cut texts."""
+    texts = [(r[0], r[1]) for r in rows]
+    goes, stays, words, shared = brute_passages(texts)
+    frame = frame or docs(spark, [(i, t, "s", "en") for i, t in texts])
+    passages = substring_dedup.repeated_passages(frame)
+    no, got = {i: d for d, (i, _) in enumerate(texts)}, passages.collect()
+    mine = [[set() for _ in texts] for _ in range(2)]
     for r in got:
-        classes[r.doc_id].add(r.class_id)
-    for group in sharers(texts, 51):
-        assert set.intersection(*(classes[i] for i in group)), group
-    assert {r.doc_id for r in got} <= set().union(*sharers(texts, 30)) | set().union(*similar_pairs(texts))
+        mine[r.removed][no[r.doc_id]].update(range(r.start_word, r.start_word + r.n_words))
+    for d in range(len(texts)):
+        assert mine[True][d] == {k for k, x in enumerate(goes[d]) if x}, texts[d][0]
+        assert mine[False][d] == {k for k, x in enumerate(stays[d]) if x}, texts[d][0]
+    of = defaultdict(lambda: defaultdict(set))
+    for r in got:
+        of[r.doc_id][r.class_id].add((r.keep_id, r.start_word, r.start_word + r.n_words))
+    for at in shared.values():  # documents that share a run share a class, and those that cut it name who keeps it
+        together = [{c for c, spans in of[texts[d][0]].items() if any(a < k + 51 and k < b for _, a, b in spans)} for d, k in at]
+        assert set.intersection(*together)
+    left = {r.doc_id: (r.text or "").lower().split() for r in substring_dedup.cut_passages(frame, passages).collect()}
+    for d, (i, t) in enumerate(texts):
+        assert left[i] == [w for w, gone in zip(words[d], goes[d]) if not gone]
+    standing = {tuple(w[k : k + 51]) for w in left.values() for k in range(len(w) - 50)}
+    assert shared.keys() <= standing
+    return got
 
 
-def test_every_passage_stays_somewhere(spark):
-    rng = random.Random(6)
-    p, q = " ".join(words(rng, 60)), " ".join(words(rng, 60))
-    frame = docs(spark, [(1, p, "s", "en"), (2, q, "s", "en"), (3, f"{p}\n{q}", "s", "en")])
-    got = substring_dedup.repeated_passages(frame)
-    rows = Counter((r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got.collect())
-    assert rows == Counter([(1, 0, 60, 1, False), (2, 0, 60, 2, False), (3, 0, 60, 1, True), (3, 60, 60, 2, True)])
-    assert {r.doc_id: r.text for r in substring_dedup.cut_passages(frame, got).collect()} == {1: p, 2: q, 3: ""}
-
-    blocks, texts = [words(rng, 60) for _ in range(12)], {}
-    for i in range(40):  # hard-wrapped, so that there are only windows
-        w = [x for b in rng.sample(range(12), rng.randrange(1, 5)) for x in blocks[b]]
-        texts[i] = "\n".join(" ".join(w[k : k + 12]) for k in range(0, len(w), 12))
-    frame = docs(spark, [(i, t, "s", "en") for i, t in texts.items()])
-    left = [" ".join(r.text.split()) for r in substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame)).collect()]
-    used = [b for b in map(" ".join, blocks) if any(b in " ".join(t.split()) for t in texts.values())]
-    assert len(used) > 9 and all(any(b in t for t in left) for b in used)
-    assert sum(len(t.split()) for t in left) < sum(len(t.split()) for t in texts.values()) / 2
-
-
-def similar_pairs(texts):
-    paragraphs = defaultdict(list)
-    for i, t in texts.items():
-        for p in (t or "").split("\n"):
-            w = p.lower().split()
-            if len(w) >= 50:
-                paragraphs[frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))].append(i)
-    keys = list(paragraphs)
-    return [{*paragraphs[a], *paragraphs[b]} for x, a in enumerate(keys) for b in keys[x + 1 :] if len(a & b) >= 0.8 * len(a | b)] + [set()]
+def test_passages_of_the_table(spark, sf):
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    got = check_passages(spark, rows, documents)
+    assert Counter(got) == Counter(Q.op3_substring_dedup(spark, sf).collect()) and any(r.removed for r in got)
 
 
 def words(rng, n):
     return [f"{rng.choice('abcdefgh')}{rng.randrange(5000)}" for _ in range(n)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_of_mixed_texts(spark, seed):
+    """Blocks in running text, as lines, hard-wrapped, with edits, repeated inside a text, beside short lines."""
+    rng, rows = random.Random(seed), []
+    blocks = [words(rng, rng.choice([12, 20, 45, 60, 120])) for _ in range(14)]
+    for i in range(60):
+        w, shape = [], rng.randrange(4)
+        for b in rng.choices(range(14), k=rng.randrange(1, 5)):
+            block = list(blocks[b])
+            if rng.random() < 0.3:
+                block[rng.randrange(len(block))] = "edited"
+            lead = words(rng, rng.choice([0, 3, 70]))
+            w.append("\n".join(map(" ".join, (lead, block))) if shape == 0 else " ".join(lead + block))
+        text = ("\n" if shape < 2 else " ").join(w).split(" ")
+        if shape == 3:
+            text = [x + "\n" * (k % 12 == 11) for k, x in enumerate(text)]
+        rows.append((i, "  ".join(text)))
+    rows += [(60, "la " * 130), (61, "LA " * 90 + "x"), (None, " ".join(blocks[4] + words(rng, 80) + blocks[0]))]
+    check_passages(spark, rows)
+
+
+def test_no_copy_of_a_passage_is_lost(spark):
+    """A, A+B, B, A+B; paragraphs and running text alike; two rows of one id; rows without an id; a 45-word line."""
+    rng = random.Random(6)
+    a, b, line = (" ".join(words(rng, n)) for n in (120, 120, 45))
+    for joint in (" ", "\n"):
+        rows = [(1, a), (2, a + joint + b), (3, b), (4, a + joint + b)]
+        got = check_passages(spark, rows)
+        left = {r.doc_id: r.text.split() for r in substring_dedup.cut_passages(docs(spark, [(*r, "s", "en") for r in rows]), substring_dedup.repeated_passages(docs(spark, [(*r, "s", "en") for r in rows]))).collect()}
+        assert left[1] == a.split() and left[2][-120:] == b.split() and left[3] == left[4] == []
+        assert {r.keep_id for r in got if r.doc_id == 3} == {2}
+    other = " ".join(words(rng, 200))
+    rows = [(9, a, "s", "en"), (9, other, "s", "en"), (None, other + " " + a, "s", "en"), (None, b, "s", "en"), (2, "x " + b, "s", "en")]
+    frame = docs(spark, rows)
+    left = Counter(r.text for r in substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame)).collect())
+    assert left == Counter([a, other, "", "", "x " + b])
+    rows = [(i, "\n".join([" ".join(words(rng, 60)), line, " ".join(words(rng, 9 + i))])) for i in range(6)]
+    got = check_passages(spark, rows)
+    assert {(r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got} == {(i, 60, 45, 0, i > 0) for i in range(6)}
+
+
 def test_quotes_near_paragraphs_and_clean_documents(spark):
     rng = random.Random(4)
     quote, base = words(rng, 51), words(rng, 160)
-    rows, near = [], []
+    rows, near, at = [], [], {}
     for i in range(40):  # a quote anywhere in running text
         w = words(rng, 200)
-        at = rng.randrange(200)
-        rows.append((i, " ".join(w[:at] + quote + w[at:]), "s", "en"))
+        at[i] = rng.randrange(200)
+        rows.append((i, " ".join(w[: at[i]] + quote + w[at[i] :]), "s", "en"))
     for i in range(40, 80):  # one paragraph with a word changed here and there
         w = list(base)
         for _ in range(2):
@@ -90,17 +154,24 @@ def test_quotes_near_paragraphs_and_clean_documents(spark):
     frame = docs(spark, rows)
     passages = substring_dedup.repeated_passages(frame)
     got = passages.collect()
-    assert {r.doc_id for r in got} == set(range(80))
+    assert {(r.doc_id, r.start_word, r.n_words, r.removed) for r in got if r.doc_id < 40} == {(i, at[i], 51, i > 0) for i in range(40)}
+    assert {(r.doc_id, r.start_word, r.n_words, r.removed) for r in got if r.doc_id >= 40} == {(i, 60, 160, i > 40) for i in near}
     of = {name: {r.class_id for r in got if r.doc_id in ids} for name, ids in (("quote", range(40)), ("near", near))}
-    assert len(of["quote"]) == len(of["near"]) == 1 and of["quote"] != of["near"]
-    assert {r.doc_id for r in got if not r.removed} == {0, 40} and {r.keep_id for r in got} == {0, 40}
+    assert len(of["quote"]) == len(of["near"]) == 1 and of["quote"] != of["near"] and {r.keep_id for r in got} == {0, 40}
     left = {r.doc_id: r.text for r in substring_dedup.cut_passages(frame, passages).collect()}
     text = {r[0]: r[1] for r in rows}
     assert all(left[i] == text[i] for i in (0, 40, *range(80, 121)))
-    assert all(len(left[i].split()) < len(text[i].split()) - 29 for i in range(1, 40))
 
 
-def test_large_buckets_lose_nothing(spark):
+def test_least_paragraph(spark):
+    """Lines of one shingle count if asked for; shorter ones never do."""
+    rows = [(i, f"one two three four five\nfour words at most\n{i} own {i} line {i} is long {i} enough", "s", "en") for i in range(3)]
+    found = lambda n: {(r.doc_id, r.start_word, r.n_words, r.removed) for r in substring_dedup.repeated_passages(docs(spark, rows), paragraph=n).collect()}
+    assert found(5) == found(1) == {(i, 0, 5, i > 0) for i in range(3)} and found(6) == set()
+
+
+def test_large_buckets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(shared, "CHUNK", 7)
     rng = random.Random(8)
     base = words(rng, 120)
     sets = []
@@ -108,17 +179,29 @@ def test_large_buckets_lose_nothing(spark):
         w = list(base)
         for _ in range(rng.randrange(1, 4)):
             w[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
-        sets.append(np.unique(np.array([hash(tuple(w[k : k + 5])) % 2**32 for k in range(116)], dtype=np.uint32)))
-    frame = spark.createDataFrame([(2 * i, [1, 2 + i % 3], s.tobytes()) for i, s in enumerate(sets)], "key long, bands array<long>, shingles binary")
+        sets.append(np.unique(np.array([hash(tuple(w[k : k + 5])) % 2**64 for k in range(116)], dtype=np.uint64)))
+    bands = spark.createDataFrame([(2 * i, [1, 2 + i % 3]) for i in range(60)], "key long, bands array<long>")
+    held = spark.createDataFrame([(2 * i, s.tobytes()) for i, s in enumerate(sets)], "key long, shingles binary")
     similar = lambda a, b: len(np.intersect1d(sets[a // 2], sets[b // 2])) >= 0.8 * len(np.union1d(sets[a // 2], sets[b // 2]))
     want = brute_components([(2 * i, 2 * i) for i in range(60)], similar)
     for part in (8, 512):
-        edges = [(r.u, r.v) for r in substring_dedup.similar_paragraphs(frame, part=part).collect()]
+        edges = [(r.u, r.v) for r in substring_dedup.similar_paragraphs(substring_dedup.colliding(bands, part), held).collect()]
         assert all(similar(u, v) for u, v in edges)
         linked = {frozenset(e) for e in edges}
         assert brute_components([(2 * i, 2 * i) for i in range(60)], lambda a, b: frozenset((a, b)) in linked) == want
 
 
+def test_sized_join_deals_out_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "CHUNK", 5)
+    left = spark.createDataFrame([(k, i) for k, n in (("a", 1), ("b", 5), ("c", 23), ("d", 2)) for i in range(n)], "k string, HOT_PARTS int")
+    right = shared.materialize(spark.createDataFrame([("a", 1, "A"), ("b", 5, "B"), ("c", 23, "C")], "k string, n long, v string"), "test")
+    inner, outer = (shared.join_sized(left, right, "k", how=how).collect() for how in ("inner", "left"))
+    assert Counter((r.k, r.v) for r in inner) == {("a", "A"): 1, ("b", "B"): 5, ("c", "C"): 23}
+    assert Counter((r.k, r.v) for r in outer) == {("a", "A"): 1, ("b", "B"): 5, ("c", "C"): 23, ("d", None): 2}
+    assert len({(r.k, r.HOT_PARTS) for r in outer}) == 31
+    assert shared.join_sized(left.limit(0), right.limit(0), "k").count() == 0
+
+
 def test_every_long_enough_stretch_has_an_anchored_window():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 1 << 63, 51, dtype=np.uint64)
@@ -133,8 +216,14 @@ def test_every_long_enough_stretch_has_an_anchored_window():
 
 def test_passages_awkward(spark):
     got = substring_dedup.repeated_passages(docs(spark, AWKWARD)).collect()
-    assert {r.doc_id for r in got} == {6, 7}
-    assert substring_dedup.repeated_passages(docs(spark, [])).count() == 0
+    assert {(r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got} == {(6, 0, 60_000, 6, False), (7, 0, 60_000, 6, True)}
+    empty = docs(spark, [])
+    assert substring_dedup.repeated_passages(empty).count() == 0
+    for rows in (AWKWARD, []):
+        frame = docs(spark, rows).withColumnsRenamed({"KEPT": "Row_Tag", "size": "CUTS"})
+        cut = substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame))
+        assert cut.columns == frame.columns and cut.count() == len(rows)
+        assert Counter(r.text for r in cut.collect()) == Counter("" if r[0] == 7 else r[1] for r in rows)
     lost = " ".join(f"n{i}" for i in range(80))
     got = substring_dedup.repeated_passages(docs(spark, [(None, lost, None, None), (3, "x " + lost, None, None), (3, "x " + lost, None, None)]))
     assert Counter((r.doc_id, r.keep_id, r.removed) for r in got.collect()) == {(None, 3, True): 1, (3, 3, False): 1}
