@@ -105,17 +105,17 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int,
     return known.where(F.size("v") == dim), dim, norm
 
 
-def _best(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k largest finite values of every row, and of those that rounding may tie with them."""
+def _best(near: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k largest values of every row from ``least`` on, and of those that rounding may tie with them."""
     if near.shape[1] > k:
-        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k, None]
-        least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), least)
-        return np.nonzero((near >= least) & np.isfinite(near))
-    return np.nonzero(np.isfinite(near))
+        least = np.maximum(least, np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k])
+    least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), least)
+    return np.nonzero((near >= least[:, None]) & np.isfinite(near))
 
 
 def _scorer(dim: int, k: int):
-    """Scores the queries of a shard against the members of the leaves that they open; the k best of each leave it."""
+    """Scores the queries of a shard against the members of the leaves that they open; the k best of each leave it, if
+    they are no worse than what the query has."""
 
     def score(_, left: pa.Table, right: pa.Table) -> pa.Table:
         who, what, scores = [], [], []
@@ -126,7 +126,7 @@ def _scorer(dim: int, k: int):
             names, starts = np.unique(leaf, return_index=True)
             ends, queries = np.r_[starts[1:], len(leaf)], _matrix(right.column("v").combine_chunks(), dim)
             place = np.asarray(pc.rank(left.column("e").combine_chunks(), tiebreaker="dense")).astype(np.int64)
-            lists = right.column("leaves").combine_chunks()
+            lists, has = right.column("leaves").combine_chunks(), np.asarray(right.column("has"))
             asks, wants = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
             for at in range(0, len(queries), STEP):
                 q = queries[at : at + STEP]
@@ -136,12 +136,12 @@ def _scorer(dim: int, k: int):
                 for a, b, *span in zip(starts, ends, np.searchsorted(wanted, names), np.searchsorted(wanted, names, "right")):
                     if len(rows := asked[slice(*span)]):
                         near[rows, a:b] = q[rows] @ vectors[a:b].T
-                i, j = _best(near, k)
+                i, j = _best(near, k, has[at : at + STEP])
                 exact = (q[i] * vectors[j]).sum(axis=1)  # the same sum for a pair in whatever block
                 order = np.lexsort((place[j], -exact, i))
                 i, j, exact = i[order], j[order], exact[order]
                 first = np.searchsorted(i, i)
-                keep = np.arange(len(i)) - first < k
+                keep = (np.arange(len(i)) - first < k) & (exact >= has[at : at + STEP][i])
                 who.append(i[keep] + at)
                 what.append(j[keep])
                 scores.append(exact[keep])
@@ -160,7 +160,7 @@ def index(entries: DataFrame, dim: int, norm: float, trees: int = TREES, leaf: i
 
 
 def _shards(forest: Forest, df: DataFrame, kind: str, vector: str, dim: int, lists) -> DataFrame:
-    """(shard, e, v, leaves): each row once a shard; ``lists`` gives from a batch each row's leaves, ascending."""
+    """(shard, e, v, has, leaves): each row (e, v, has) once a shard; ``lists`` gives from a batch each row's leaves, ascending."""
     bits = min(forest.depth, SHARD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +175,10 @@ def _shards(forest: Forest, df: DataFrame, kind: str, vector: str, dim: int, lis
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | ((leaf[1:] >> bits) != (leaf[:-1] >> bits))])
             at = pa.array(row[new])
             held = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)], pa.int32()), pa.array(leaf))
-            columns = [pa.array(leaf[new] >> bits), batch.column(0).take(at), batch.column(1).take(at), held]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "e", "v", "leaves"])
+            columns = [pa.array(leaf[new] >> bits), *(batch.column(i).take(at) for i in range(3)), held]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "e", "v", "has", "leaves"])
 
-    return df.mapInArrow(run, f"shard long, e {kind}, v {vector}, leaves array<long>")
+    return df.mapInArrow(run, f"shard long, e {kind}, v {vector}, has double, leaves array<long>")
 
 
 def nearest(
@@ -201,7 +201,8 @@ def nearest(
     distance D. A neighbour at distance D in a direction of its own lies about D / sqrt(dim) off along any normal, so
     the queue goes on until the squared cuts crossed sum to more than slack * D**2 / dim. Vectors with structure need few
     leaves, vectors without any need most of them. Queries go to shards of neighbouring leaves, once each with the list of
-    leaves they open; members and queries of a shard meet in blocks of bounded size and are scored exactly.
+    leaves they open; members and queries of a shard meet in blocks of bounded size and are scored exactly. What is worse
+    than the k + 1 that a query has from its first leaves does not leave a block.
 
     Cases: rows whose id or vector is null, zero or holds a null or non-finite component take no part. Inner products
     of vectors of different lengths are undefined: vectors of another length than most (the shorter one if equally
@@ -226,15 +227,16 @@ def nearest(
         return [np.sort(np.fromiter(islice(forest.opened(q), FIRST), np.int64)) for q in _scaled(_matrix(batch.column(1), dim), norm)]
 
     def others(batch: pa.RecordBatch) -> list[np.ndarray]:
-        limits = batch.column(2).to_pylist()
+        limits = batch.column(3).to_pylist()
         every = [np.fromiter(forest.opened(q, far), np.int64) for q, far in zip(_scaled(_matrix(batch.column(1), dim), norm), limits)]
         return [np.setdiff1d(e, f) for e, f in zip(every, first(batch))]
 
-    members = _shards(forest, entries.select("e", "v"), kind, vector, dim, homes)
+    nothing = F.lit(-math.inf).alias("has")
+    members = _shards(forest, entries.select("e", "v", nothing), kind, vector, dim, homes)
     members = materialize(members.select("shard", "e", "v", F.col("leaves")[0].alias("leaf")), "ann-members")
 
     def search(seekers: DataFrame) -> DataFrame:
-        """(q, e, score): the k + 1 best of every block."""
+        """(q, e, score): the k + 1 best of every block, from the score on that a query has."""
         size = lambda df, most, name: df.groupBy("shard").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
         seekers = materialize(seekers, "ann-seekers")
         blocks = sized_broadcast(materialize(size(members, MEMBERS, "ms").join(size(seekers, QUERIES, "qs"), "shard"), "ann-blocks"))
@@ -246,13 +248,13 @@ def nearest(
 
         return dealt(members, "ms", "qs").cogroup(dealt(seekers, "qs", "ms")).applyInArrow(_scorer(dim, k + 1), f"q {kind}, e {kind}, score double")
 
-    start = materialize(search(_shards(forest, queries, kind, vector, dim, first)), "ann-first")
+    start = materialize(search(_shards(forest, queries.select("e", "v", nothing), kind, vector, dim, first)), "ann-first")
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     # FIRST leaves hold some hundred entries, of which a row is the k + 1 best of a block.
     reached = start.groupBy("q").agg(F.get(F.sort_array(F.collect_set(F.struct("score", "e")), asc=False), k)["score"].alias("kth"))
     far = F.lit(2 * norm) * (F.lit(norm) - F.col("kth") / F.sqrt(square))
     limit = F.coalesce(F.greatest(far, F.lit(0.0)) * F.lit(slack / (dim + 1)), F.lit(math.inf))
-    going = queries.join(reached, F.col("e") == F.col("q"), "left").select("e", "v", limit.alias("far"))
+    going = queries.join(reached, F.col("e") == F.col("q"), "left").select("e", "v", F.coalesce("kth", F.lit(-math.inf)).alias("has"), limit.alias("far"))
     found = start.unionByName(search(_shards(forest, going, kind, vector, dim, others)))
     found = found.groupBy("q", "e").agg(F.max("score").alias("score"))
 
