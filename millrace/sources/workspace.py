@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths made since the innermost ``settled`` began.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
 
 def workspace(spark: SparkSession) -> str:
     """The shared folder of the session (``spark.checkpoint.dir``).
@@ -24,7 +29,10 @@ def workspace(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{workspace(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -34,9 +42,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, tag: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Materializes what ``build`` returns, then deletes every other table that was made meanwhile."""
+    token = _made.set(inner := [])
+    try:
+        df = build()
+    finally:
+        _made.reset(token)
+    out = materialize(df, tag)
+    for path in inner:
+        _delete(spark, path)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` made; it must not be read again."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/millrace/" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/millrace/" in f}:
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that the library has in the session's shared folder; none of its results may be read afterwards."""
+    _delete(spark, f"{workspace(spark)}/millrace")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
