@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import discard, materialize
+from millrace.llm.shared import discard, join_sized, materialize
 
 MAX_ROUNDS = 60
-#: Edges of a node beyond which it is handled apart.
-HEAVY = 200_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every task first contracts its own edges to stars. Then large-star and small-star rounds (Kiveris et al., 2014)
     alternate until nothing changes: each links a node's neighbours to its smallest neighbour, so long chains shrink
-    geometrically. Minima are pre-aggregated before the exchange. Nodes of more than HEAVY edges, one in HEAVY edges
-    at most, get their minimum by broadcast, so their edges stay where they are. Every round is written to the shared
-    folder and the one before it deleted. Null endpoints and self loops are ignored; no edges give no rows.
+    geometrically. Minima are pre-aggregated before the exchange, and the edges of a node of many are dealt out when
+    they meet its minimum. Every round is written to the shared folder and the one before it deleted. Null endpoints and self loops are ignored; no edges give no rows.
     """
     known = edges.select("u", "v").where("u is not null and v is not null and u <> v")
     stars = materialize(known.mapInArrow(_contract, "u long, v long").distinct(), "components")
@@ -60,26 +57,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _round(stars: DataFrame) -> DataFrame:
-    ends = stars.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count()
-    heavy = (ends.agg(F.max("count")).first()[0] or 0) > HEAVY
     both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _linked(both.where("v > u"), both, heavy).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-    if heavy:
-        large = materialize(large, "components")  # read twice below
-    linked = _linked(large, large, heavy)
-    to_low = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    small = to_low.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct()
-    out = materialize(small, "components")
-    if heavy:
-        discard(large)
+    low = _lowest(both)
+    large = join_sized(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+    large = materialize(large, "components")
+    lowest = _lowest(large)
+    to_low = join_sized(large, lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = materialize(to_low.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "components")
+    for done in (low, large, lowest):
+        discard(done)
     return out
 
 
-def _linked(edges: DataFrame, every: DataFrame, heavy: bool) -> DataFrame:
-    """Adds m, the smallest neighbour of u among ``every`` edge."""
-    low = every.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    if not heavy:
-        return edges.join(low.select("u", "m"), "u")
-    top = F.broadcast(materialize(low.where(F.col("n") > HEAVY).select("u", "m"), "components-heavy"))
-    rest = edges.join(top, "u", "left_anti").join(low.where(F.col("n") <= HEAVY).select("u", "m"), "u")
-    return edges.join(top, "u").unionByName(rest)
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Of every u its smallest neighbour m and the number of its edges."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "components")

@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.shared import bound_batches, free_name, lean_worker, materialize, sized_broadcast
+from millrace.llm.shared import bound_batches, free_name, join_sized, lean_worker, materialize, settled, sized_broadcast
 
 #: Shingles hashed at a time; bounds the memory that a long text takes.
 CHUNK = 1 << 16
 #: Fingerprints of one key that a task compares at a time. Larger keys are dealt out as pairs of parts.
-PART = 2048
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
+PART = 8192
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -112,24 +111,20 @@ def simhash_links(fingerprints: DataFrame, bits: int = 4, blocks: int = 6, part:
     Every fingerprint goes to the C(blocks, bits) keys made of ``blocks - bits`` of its blocks. A key's rows are
     compared in one run and leave a spanning forest, fewer links than rows. Keys of more than ``part`` rows are cut
     into parts by hash and each pair of parts is a run of its own, so no task holds more than two parts of a key and
-    no pair is lost.
+    no pair is lost; a key of n different fingerprints makes n * n / part rows.
     """
-    masks = F.array(*[F.lit(int(np.int64(m.view(np.int64)))) for m in block_keys(bits, blocks)])
-    key = F.col("fp").bitwiseAND(F.col("mask"))
-    keyed = fingerprints.select("fp", F.posexplode(masks).alias("no", "mask")).select("fp", F.xxhash64("no", key).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    large = materialize(sizes.where(F.col("n") > part), "simhash-keys")
-    parts = F.ceil(F.col("n") / part).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    dealt = (
-        keyed.join(large, "key")
-        .select("key", "fp", own.alias("own"), other.alias("other"), parts.alias("parts"))
-        .select("key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other") + 1).cast("int").alias("tile"), "fp")
-    )
-    usual = keyed.join(large, "key", "left_anti").select("key", F.lit(0).alias("tile"), "fp")
     n = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = usual.union(dealt).repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
+    masks = F.array(*[F.lit(int(np.int64(m.view(np.int64)))) for m in block_keys(bits, blocks)])
+    key = F.xxhash64("no", F.col("fp").bitwiseAND(F.col("mask")))
+    keyed = fingerprints.select("fp").repartition(n, "fp").select("fp", F.posexplode(masks).alias("no", "mask"))
+    keyed = materialize(keyed.select("fp", key.alias("key")), "simhash-keyed")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
+    hit = join_sized(keyed, materialize(sizes, "simhash-keys"), "key")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = hit.select("key", "fp", "parts", own.alias("own"), other.alias("other"))
+    tile = (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).cast("int")
+    runs = dealt.select("key", tile.alias("tile"), "fp").repartition(n, "key", "tile").sortWithinPartitions("key", "tile")
     return runs.mapInArrow(_links(bits), "u long, v long")
 
 
@@ -150,12 +145,18 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     prints = materialize(rows.mapInArrow(_fingerprints(words), f"id {kind}, tag long, fp long"), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(simhash_links(nodes.select("fp"), bits))
-    linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("id", "tag", "fp", "root", "component_id")
+
+    def of_prints() -> DataFrame:
+        nodes = materialize(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows")), "simhash-nodes")
+        roots = connected_components(simhash_links(nodes.select("fp"), bits))
+        linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root"))
+        linked = materialize(linked, "simhash-linked")
+        lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+        return join_sized(linked, materialize(lowest, "simhash-lowest"), "root")
+
+    named = settled(docs.sparkSession, "simhash-named", of_prints)
+    found = join_sized(prints, named.select("fp", "root", "component_id", F.col("rows").alias("n")), "fp")
+    return found.select("id", "tag", "fp", "root", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -176,13 +177,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     text hash), and one of rows that repeat it.
 
     Only ids and hashes are grouped. The corpus itself meets the list of rows to leave out, which is broadcast if its
-    counted rows are few.
+    counted rows are few; otherwise the texts are shuffled by id and text hash.
+
+    Cases: null, empty and wordless texts are near copies of each other (fingerprint 0), so one of them stays. Very
+    long texts are read whole. An empty table gives an empty result. The columns are those of the input, whatever
+    their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = materialize(_classes(docs, id_col, text_col, words, bits).select("id", "tag", "root"), "simhash-classes")
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")).alias("first"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")).alias("first"), F.count("*").alias("n"))
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tag") == F.col("first.tag"))
-    gone = found.join(first, "root").where(~same).select("id", "tag").distinct()
+    gone = join_sized(found, materialize(first, "simhash-first"), "root").where(~same).select("id", "tag").distinct()
     twice = found.groupBy("id", "tag").count().where("count > 1").select("id", "tag")
     tag, key, other, copy = (free_name(docs, n) for n in ("row_tag", "row_id", "other_tag", "copy_no"))
     tagged = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

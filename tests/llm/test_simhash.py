@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from millrace.llm import components, simhash
+from millrace.llm import components, shared, simhash
 from millrace.llm import queries as Q
 
 from .helpers import AWKWARD, LONG, docs
@@ -93,9 +93,9 @@ def test_every_pair_within_the_bits_shares_a_key():
         assert any(a & int(k) == b & int(k) for k in keys)
 
 
-@pytest.mark.parametrize(("shape", "heavy"), [("chain", 3), ("star", 200_000), ("star", 20), ("none", 3)])
-def test_components(spark, shape, heavy, monkeypatch):
-    monkeypatch.setattr(components, "HEAVY", heavy)
+@pytest.mark.parametrize(("shape", "chunk"), [("chain", 1), ("star", 1_000), ("star", 20), ("none", 3)])
+def test_components(spark, shape, chunk, monkeypatch):
+    monkeypatch.setattr(shared, "CHUNK", chunk)
     n = 400
     order = list(range(n))
     random.Random(3).shuffle(order)
