@@ -203,15 +203,16 @@ def test_sized_join_deals_out_large_keys(spark, monkeypatch):
 
 
 def test_every_long_enough_stretch_has_an_anchored_window():
-    rng = np.random.default_rng(0)
+    rng, n = np.random.default_rng(0), substring_dedup.WINDOW
     shared = rng.integers(0, 1 << 63, 51, dtype=np.uint64)
     keys = []
     for _ in range(30):
         h = np.concatenate([rng.integers(0, 1 << 63, rng.integers(0, 90), dtype=np.uint64), shared, rng.integers(0, 1 << 63, rng.integers(0, 90), dtype=np.uint64)])
-        at = substring_dedup.anchors(substring_dedup._rolled(h, 5), len(h) - 30)
-        assert (substring_dedup._rolled_at(h, 30, at) == substring_dedup._rolled(h, 30)[at]).all()
-        keys.append(set(substring_dedup._rolled_at(h, 30, at).tolist()))
+        at = substring_dedup.anchors(substring_dedup._rolled(h, 5), len(h) - n)
+        assert (substring_dedup._rolled_at(h, n, at) == substring_dedup._rolled(h, n)[at]).all()
+        keys.append(set(substring_dedup._rolled_at(h, n, at).tolist()))
     assert set.intersection(*keys)
+    assert not len(substring_dedup.anchors(substring_dedup._rolled(shared[:50], 5), 50 - n))
 
 
 def test_passages_awkward(spark):
