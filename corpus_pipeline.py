@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, exact_dedup, lang_id, mixing, simhash
-from millrace.llm.shared import free_name, materialize
+from millrace.llm.shared import free_name, settled
 
 
 def _beside(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -29,19 +29,26 @@ def _beside(docs: DataFrame, added: tuple[str, ...], stage: Callable[[DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents without a language: null texts and texts without a letter; all if nothing is learned.
+
+    All stages: rows with null ids and sources take part, repeated rows pass alike, texts are read whole, an empty table gives an empty
+    one, and columns of whatever names come out as they went in.
+    """
     return _beside(docs, ("lang_pred", "score"), lambda d: lang_id.learn_and_identify(d).where(F.col("lang_pred") != lang_id.UNKNOWN))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of equal texts (null is empty) the row with the largest id, nulls below all others, and one of equal rows."""
     return _beside(docs, ("keep_id", "group_size", "kept"), lambda d: exact_dedup.exact_dedup(d).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of near copies the row with the smallest id, nulls after all others, and one of equal rows."""
     return simhash.keep_one(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes twice is two rows."""
+    """A document that the mix takes twice is two rows, one that it leaves is none. Null is a source of its own."""
 
     def mix(d: DataFrame) -> DataFrame:
         mixed = mixing.mix_sources(d).where("copies > 0")
@@ -51,6 +58,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: a row of token count and digests for each row; null counts as empty, other columns go."""
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -67,8 +75,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each reads what the one before has written in the shared folder."""
+    """Applies the stages to documents; each reads what the one before has written in the shared folder.
+
+    A stage's own tables are deleted when its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = settled(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
