@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import BROADCAST_ROWS, free_name, materialize, sized_broadcast
+from millrace.llm.shared import BROADCAST_ROWS, free_name, join_sized, materialize, sized_broadcast
 
 #: Characters whose hash is the second step's key.
 PREFIX_CHARS = 256
 
 
+def shared_lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(len): the lengths in bytes that occur again; the first step."""
+    sizes = docs.select(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("len")).groupBy("len").agg(F.count("*").alias("n"))
+    return materialize(sizes.where("n > 1").select("len"), "dedup-lengths")
+
+
+def shared_prefixes(marked: DataFrame, length: str, prefix: str) -> DataFrame:
+    """The pairs of length and prefix hash that occur again; the second step. Rows without a prefix hash are passed over."""
+    sizes = marked.where(F.col(prefix).isNotNull()).groupBy(length, prefix).agg(F.count("*").alias("n"))
+    return materialize(sizes.where("n > 1").select(length, prefix), "dedup-prefixes")
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -20,38 +32,38 @@ def exact_dedup(
 ) -> DataFrame:
     """Adds ``keep_id``, ``group_size`` and ``kept`` to every row; of equal texts the row with the largest id stays.
 
-    The first scan reads lengths and prefix hashes and keeps the (length, prefix hash) pairs that occur again among
-    the lengths that occur again. The second scan hashes (SHA-256) only the texts of those groups. Rows outside them
-    pass without an exchange while the pairs fit ``broadcast_rows``; beyond it they are joined by key, and the hash,
-    not the text, is what decides the group.
+    The first scan reads lengths. The second hashes the prefixes of texts whose length occurs again, and the third
+    makes SHA-256 of the texts whose length and prefix occur again; all other rows pass as they are. Keys are broadcast
+    while they fit ``broadcast_rows``; beyond it rows are joined by key. The hash, not the text, decides the group.
 
     Cases: a null text equals the empty one. Null ids sort below all others. Rows that repeat both id and text are
-    copies of each other: exactly one of them stays. An empty table gives an empty result. Columns of these names
-    that the input has already are replaced; all its other columns are carried along.
+    copies of each other: exactly one of them stays; such rows alone are told apart by a window, all of one id and text
+    in one task. An empty table gives an empty result. Columns of these names that the input has already are replaced;
+    all its other columns are carried along.
     """
     docs = docs.drop("keep_id", "group_size", "kept")
-    length, prefix, full, copy = (free_name(docs, n) for n in ("len", "prefix", "full", "copy_no"))
+    length, prefix, full, copy, again = (free_name(docs, n) for n in ("len", "prefix", "full", "copy_no", "len_again"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumns({length: F.octet_length(text), prefix: F.xxhash64(F.substring(text, 1, prefix_chars))})
-
-    narrow = keyed.groupBy(length, prefix).agg(F.count("*").alias("n"))
-    by_length = narrow.groupBy(length).agg(F.sum("n").alias("same_length")).where("same_length > 1").select(length)
-    again = materialize(narrow.where("n > 1").join(by_length, length, "left_semi").select(length, prefix), "dedup-keys")
-    small = again.limit(broadcast_rows + 1).count() <= broadcast_rows
-    keys = F.broadcast(again) if small else again
-
-    first = keyed.join(keys, [length, prefix], "left_anti").drop(length, prefix)
-    rivals = keyed.join(keys, [length, prefix], "left_semi").withColumn(full, F.sha2(text, 256)).drop(length, prefix)
-    groups = rivals.groupBy(full).agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    # Written first, so that both sides of the join are plain exchanges and adaptive execution can split a large group.
-    groups = sized_broadcast(materialize(groups, "dedup-groups"), broadcast_rows)
-    # Only rows alike in id and text share a window partition, so a large group of copies is dealt out by its ids.
-    again_by_id = Window.partitionBy(full, id_col).orderBy(F.lit(1))
-    decided = (
-        rivals.withColumn(copy, F.row_number().over(again_by_id))
-        .join(groups, full)
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(copy) == 1))
-    )
+    lengths = sized_broadcast(shared_lengths(docs, text_col).select(F.col("len").alias(length), F.lit(True).alias(again)), broadcast_rows)
+    marked = docs.withColumn(length, F.octet_length(text)).join(lengths, length, "left")
+    marked = marked.withColumn(prefix, F.when(F.col(again), F.xxhash64(F.substring(text, 1, prefix_chars)))).drop(again)
+    keys = sized_broadcast(shared_prefixes(marked, length, prefix), broadcast_rows)
+
+    first = marked.join(keys, [length, prefix], "left_anti").drop(length, prefix)
+    rivals = marked.join(keys, [length, prefix], "left_semi").withColumn(full, F.sha2(text, 256)).drop(length, prefix)
+    rows = materialize(rivals.groupBy(full, F.col(id_col).alias("id")).agg(F.count("*").alias("n")), "dedup-rows")
+    groups = rows.groupBy(full).agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = materialize(groups.withColumn("n", F.col("group_size")), "dedup-groups")
+    small = groups.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = rivals.join(F.broadcast(groups.drop("n")), full) if small else join_sized(rivals, groups, full, deal=F.xxhash64(id_col))
+
+    other, row = free_name(docs, "row_full"), free_name(docs, "row_id")
+    twice = sized_broadcast(rows.where("n > 1").select(F.col(full).alias(other), F.col("id").alias(row)), broadcast_rows)
+    same = (F.col(full) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(row))
+    number = F.row_number().over(Window.partitionBy(full, id_col).orderBy(F.lit(1)))
+    numbered = met.join(twice, same, "left_semi").withColumn(copy, number)
+    decided = met.join(twice, same, "left_anti").withColumn(copy, F.lit(1)).unionByName(numbered)
+    decided = decided.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(copy) == 1))
     out = [*docs.columns, "keep_id", "group_size", "kept"]
     alone = first.withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return alone.select(out).unionByName(decided.select(out))
