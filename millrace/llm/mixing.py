@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import free_name, materialize, sized_broadcast
+from millrace.llm.shared import free_name, join_sized, materialize
 
 #: White space of the word rule, as a character class and as the characters to trim.
 SPACE_CLASS, SPACE_CHARS = "[\\x20\\x09-\\x0D]+", " \t\n\x0b\x0c\r"
 #: Each histogram has 2**BITS buckets a source; LEVELS of them resolve BITS * LEVELS bits of the hash.
 BITS, LEVELS = 12, 4
+#: Sources whose table of a row a source is broadcast. Beyond it rows meet it by key, large sources dealt out.
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -22,7 +22,7 @@ def word_count(text: Column) -> Column:
 
 
 def mixture_targets(totals: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """Adds ``target`` to a table (source, source_size).
+    """Adds ``target`` to a table with the columns source and source_size.
 
     Sources in code point order, null last, have the weights in turn and share ``share`` of all sizes; a target stops
     at ``most`` times its source's size and the excess goes to the others by weight until none is above. That fixed
@@ -44,7 +44,29 @@ def mixture_targets(totals: DataFrame, weights: tuple[float, ...], share: float,
     level = F.min(F.when(F.col("w") * F.col("x") <= F.col("stop"), F.struct(F.col("stop") / F.col("w"), "source", "x"))).over(every)["x"]
     return filled.withColumn("level", level).withColumn(
         "target", F.least(F.col("stop"), F.coalesce(F.col("w") * F.col("level"), F.col("stop")))
-    ).select("source", "source_size", "target")
+    ).select(*totals.columns, "target")
+
+
+def _by_source(left: DataFrame, sources: DataFrame) -> DataFrame:
+    """Joins rows by ``mix_key`` with a stored table of one row a source, whose column n has the source's rows."""
+    if sources.limit(SOURCES + 1).count() <= SOURCES:
+        return left.join(F.broadcast(sources.drop("n")), "mix_key")
+    return join_sized(left, sources, "mix_key", deal=F.col("mix_hash"))
+
+
+def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Adds ``size`` (words), ``mix_hash`` (of id and text) and ``mix_key``, the source in a form that is never null.
+
+    Cases: null texts and texts of white space have size 0. Columns of these names that the input has are replaced.
+    """
+    space = 1 << (BITS * LEVELS)
+    return docs.withColumns(
+        {
+            "size": word_count(F.col(text_col)),
+            "mix_hash": F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(space)),
+            "mix_key": F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name")),
+        }
+    )
 
 
 def mix_sources(
@@ -54,15 +76,12 @@ def mix_sources(
     source_col: str = "source",
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
-    most: float = 2.0,
+    most: int = 2,
 ) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (= copies * size) to every row.
 
-    A source whose target is k whole passes and a remainder takes every document k times and those below a hash
-    threshold once more. The threshold comes from a histogram of words by source and hash bucket: the bucket where the
-    running sum crosses the remainder is opened again by the next bits, four times 12 bits, and only that bucket's
-    rows are read for it. Nothing is sorted, and each histogram has at most 4,096 rows a source. The last bucket is
-    taken if that comes nearer to the target. The hash is of id and text, so reruns agree.
+    Copies are whole, so ``most`` is a whole number: the copies of a document at most, and where its source's target stops.
+    Sizes and hashes are written once; only they are read for the histograms, see ``mix_rows``.
 
     Cases: null texts and texts of white space have size 0; null is a source of its own, after all others; rows that
     repeat id and text are taken or left together; an empty table gives an empty result; a source of no words has
@@ -70,17 +89,28 @@ def mix_sources(
     """
     added = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*[c for c in added if c not in (id_col, text_col, source_col)])
-    key, h = free_name(docs, "mix_source"), free_name(docs, "mix_hash")
+    aside = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("mix_hash", "mix_key")}
+    named = docs.withColumnsRenamed(aside)
+    rows = sized_rows(named, id_col, aside.get(text_col, text_col), aside.get(source_col, source_col))
+    mixed = mix_rows(rows, weights, share, most)
+    return mixed.drop("mix_hash", "mix_key").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns, *added)
+
+
+def mix_rows(rows: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """Adds ``source_size``, ``target``, ``copies`` and ``taken`` to rows that ``sized_rows`` made.
+
+    A source whose target is k whole passes and a remainder takes every document k times and those below a hash
+    threshold once more. The threshold comes from a histogram of words by source and hash bucket: the bucket where the
+    running sum crosses the remainder is opened again by the next bits, four times 12 bits, and only that bucket's
+    rows are read for it. Nothing is sorted, and each histogram has at most 4,096 rows a source. The last bucket is
+    taken if that comes nearer to the target. The hash is of id and text, so reruns agree.
+    """
+    if most < 1 or most != int(most):
+        raise ValueError("a document is taken a whole number of times")
     space = 1 << (BITS * LEVELS)
-    sized = docs.withColumns(
-        {
-            "size": word_count(F.col(text_col)),
-            h: F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(space)),
-            key: F.col(source_col),
-        }
-    )
-    words = materialize(sized.select(F.col(key).alias("source"), F.col(h).alias("h"), "size"), "mix-words")
-    totals = words.groupBy("source").agg(F.sum("size").alias("source_size"))
+    words = materialize(rows.select("mix_key", "mix_hash", "size"), "mix-words")
+    totals = words.groupBy("mix_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    totals = totals.withColumn("source", F.when(~F.col("mix_key.none"), F.col("mix_key.name")))
     targets = mixture_targets(totals, weights, share, most)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     edge = targets.withColumn("passes", passes).withColumns(
@@ -91,30 +121,24 @@ def mix_sources(
         edge = materialize(_open_bucket(words, edge, space >> (BITS * step)), "mix-edge")
     # What is left is one hash value a source: take it if that is nearer to the target than leaving it.
     edge = edge.withColumn("threshold", F.col("floor") + (F.col("need") > F.col("bucket_size") / 2).cast("long"))
-    bound = edge.select(F.col("source").alias("edge_source"), "source_size", "target", "passes", "threshold")
-    copies = F.least(F.col("passes") + (F.col(h) < F.col("threshold")).cast("long"), F.lit(math.ceil(most)).cast("long"))
-    mixed = sized.join(sized_broadcast(bound, 100_000), F.col(key).eqNullSafe(F.col("edge_source")), "left")
-    mixed = mixed.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return mixed.select(*docs.columns, *added)
+    bound = materialize(edge.select("mix_key", "n", "source_size", "target", "passes", "threshold"), "mix-bound")
+    copies = F.least(F.col("passes") + (F.col("mix_hash") < F.col("threshold")).cast("long"), F.lit(int(most)).cast("long"))
+    mixed = _by_source(rows, bound).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    return mixed.select(*rows.columns, "source_size", "target", "copies", "taken")
 
 
 def _open_bucket(words: DataFrame, edge: DataFrame, width: int) -> DataFrame:
     """Splits each source's boundary bucket into buckets of ``width`` hash values and keeps the one that crosses."""
-    wide = width << BITS
-    inside = words.join(
-        sized_broadcast(edge.select(F.col("source").alias("edge_source"), "floor"), 100_000),
-        words["source"].eqNullSafe(F.col("edge_source")) & (F.col("h") >= F.col("floor")) & (F.col("h") < F.col("floor") + wide),
-    )
-    start = (F.col("h") - F.col("h") % width).alias("start")
-    histogram = inside.groupBy("source", start).agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("source").orderBy("start")
-    summed = histogram.withColumn("upto", F.sum("words").over(running)).select(
-        F.col("source").alias("h_source"), "start", "words", (F.col("upto") - F.col("words")).alias("before")
-    )
-    keep = ["source", "source_size", "target", "passes"]
-    crossing = edge.join(summed, F.col("source").eqNullSafe(F.col("h_source")) & (F.col("before") <= F.col("need")), "left")
-    last = F.max_by(F.struct("start", "words", "before"), F.coalesce("start", F.lit(-1)))
-    picked = crossing.groupBy(*keep, "need", "floor").agg(last.alias("b"))
+    inside = _by_source(words, edge.select("mix_key", "n", "floor"))
+    inside = inside.where((F.col("mix_hash") >= F.col("floor")) & (F.col("mix_hash") < F.col("floor") + (width << BITS)))
+    start = (F.col("mix_hash") - F.col("mix_hash") % width).alias("start")
+    histogram = inside.groupBy("mix_key", start).agg(F.sum("size").alias("words"))
+    running = Window.partitionBy("mix_key").orderBy("start")
+    summed = histogram.withColumn("before", F.sum("words").over(running) - F.col("words"))
+    keep = ["mix_key", "n", "source_size", "target", "passes"]
+    met = summed.join(edge.select("mix_key", "need"), "mix_key").where(F.col("before") <= F.col("need"))
+    last = met.groupBy("mix_key").agg(F.max_by(F.struct("start", "words", "before"), "start").alias("b"))
+    picked = edge.join(last, "mix_key", "left")
     return picked.select(
         *keep,
         (F.col("need") - F.coalesce(F.col("b.before"), F.lit(0))).alias("need"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat_format, exact_dedup, lang_id, mixing, neighbours, simhash, substring_dedup, token_counts, url_filter
+from millrace.llm.shared import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +66,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """Without texts in the result the mix needs sizes and hashes only, so they are written and words are counted once."""
+    rows = mixing.sized_rows(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source")
+    return mixing.mix_rows(materialize(rows, "mix-rows")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, exact_dedup, mixing
+from millrace.llm import chat_format, exact_dedup, mixing, shared
 from millrace.llm import queries as Q
 
 from ..oracle import compare
@@ -51,6 +51,31 @@ def test_exact_dedup_same_length_and_prefix(spark):
     assert {(r.doc_id, r.keep_id, r.kept) for r in got} == {(1, 3, False), (2, 2, True), (3, 3, True)}
 
 
+def test_each_step_passes_on_fewer_rows(spark):
+    """Lengths prune before prefixes are read, and prefixes before whole texts are hashed."""
+    a = "x" * 300
+    rows = [(1, "p"), (2, "qq"), (3, a + "a"), (4, a + "b"), (5, "y" + a), (6, a + "a"), (7, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.len for r in exact_dedup.shared_lengths(frame).collect()) == [0, 301]
+    of = {i: (len(t or ""), (t or "")[:256]) for i, t in rows}
+    marked = spark.createDataFrame([(n, hash(p) if n in (0, 301) else None) for n, p in of.values()], "len int, prefix long")
+    assert sorted(r.len for r in exact_dedup.shared_prefixes(marked, "len", "prefix").collect()) == [0, 301]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(frame).collect()}
+    assert got == {1: (1, 1, True), 2: (2, 1, True), 3: (6, 2, False), 4: (4, 1, True), 5: (5, 1, True), 6: (6, 2, True), 7: (8, 2, False), 8: (8, 2, True)}
+    plan = exact_dedup.exact_dedup(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN len_again" in plan  # a prefix is hashed only where the length occurs again
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_exact_dedup_of_a_large_group(spark, limit, monkeypatch):
+    monkeypatch.setattr(shared, "CHUNK", 20)
+    rows = [(i, "same" if i % 3 else f"own {i}") for i in range(300)] + [(7, "same")] * 30
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_rows=limit).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.kept and r.text == "same"] == [299]
+    assert {(r.keep_id, r.group_size) for r in got if r.text == "same"} == {(299, 230)}
+    assert all(r.kept and r.group_size == 1 for r in got if r.text != "same")
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     """The contract's own words: stop at twice the size, share the excess again by weight until none is above."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
@@ -91,14 +116,26 @@ def test_mix_sources_reaches_targets(spark, sf):
     check_mix(rows, got)
 
 
-def test_mix_sources_awkward(spark):
-    rows = [r for r in AWKWARD if r[0] not in (None, 8)] + [(20 + i, "w " * (i % 9), f"z{i % 4}", "en") for i in range(200)]
-    mixed = mixing.mix_sources(docs(spark, rows)).orderBy("doc_id")
-    check_mix(sorted(rows, key=lambda r: r[0]), mixed.collect())
-    assert "KEPT" in mixed.columns
+@pytest.mark.parametrize("sources", [100_000, 2])
+def test_mix_sources_awkward(spark, sources, monkeypatch):
+    """Null ids, null texts and sources, repeated rows, sources of no words; sources beyond the broadcast too."""
+    monkeypatch.setattr(mixing, "SOURCES", sources)
+    monkeypatch.setattr(shared, "CHUNK", 30)
+    rows = AWKWARD + [(20 + i, "w " * (i % 9), f"z{i % 4}", "en") for i in range(200)]
+    frame = docs(spark, rows).withColumnRenamed("KEPT", "Mix_Key")
+    mixed = mixing.mix_sources(frame)
+    assert mixed.columns == ["doc_id", "text", "source", "lang", "Mix_Key", "size", "source_size", "target", "copies", "taken"]
+    order = lambda r: (r[0] is None, r[0] or 0, r[2] or "", r[1] or "")
+    got = sorted(mixed.collect(), key=order)
+    assert Counter(tuple(r[:4]) for r in got) == Counter(rows) and all(r["Mix_Key"] == "mine" for r in got)
+    check_mix(sorted(rows, key=order), got)
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert mixing.mix_sources(docs(spark, [(1, None, None, None), (1, None, None, None)])).where("target = 0 and taken = 0").count() == 2
-    assert mixing.mix_sources(docs(spark, AWKWARD)).count() == len(AWKWARD)
+    for most in (1.5, 0):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(frame, most=most)
+    once = mixing.mix_sources(frame, most=1, share=5).collect()
+    assert all(r.taken == r["size"] and r.target == r.source_size for r in once)
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
