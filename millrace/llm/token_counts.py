@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Chunks
-from millrace.llm.shared import BROADCAST_ROWS, bound_batches, fresh_path, lean_worker, materialize
+from millrace.llm.shared import BROADCAST_ROWS, bound_batches, fresh_path, join_sized, lean_worker, materialize
 
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
@@ -119,7 +119,7 @@ def count_tokens(
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     rows_in = materialize(keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-digests")
-    first = rows_in.groupBy("digest").agg(F.min("id").alias("id"))
+    first = materialize(rows_in.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n")), "token-distinct")
     misses = materialize(first.join(_cached(spark, cache_path, version), "digest", "left_anti"), "token-misses")
 
     same = ["digest", "id"]
@@ -136,5 +136,5 @@ def count_tokens(
             to_encode = keyed.join(wanted, matches, "left_semi")
     encoded = to_encode.select("digest", "text").mapInArrow(_encode(data, kind, rows), "digest binary, n_tokens long")
     encoded.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    counts = _cached(spark, cache_path, version)
-    return rows_in.join(counts, "digest").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
+    counts = materialize(_cached(spark, cache_path, version).join(first.select("digest", "n"), "digest"), "token-known-counts")
+    return join_sized(rows_in, counts, "digest").select(F.col("id").alias(id_col), "digest", "n_bytes", "n_tokens")
