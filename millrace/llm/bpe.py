@@ -57,7 +57,13 @@ def _mapped(data: bytes) -> str:
     return codecs.charmap_decode(data, "strict", _SHIFT)[0]
 
 
+def _bytes_of(piece: str) -> bytes:
+    """The inverse of ``_mapped``."""
+    return codecs.charmap_encode(piece, "strict", _BACK)[0]
+
+
 _SHIFT = "".join(chr(0x100 + b) for b in range(256))
+_BACK = codecs.charmap_build(_SHIFT)
 
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
@@ -88,14 +94,14 @@ def cut(text: str) -> list[str]:
 class Chunks:
     """Remembers a row number for every chunk seen; ``learn`` gets new chunks and must append a row for each."""
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None]) -> None:
-        self.learn, self.forget = learn, forget
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int | None = None) -> None:
+        self.learn, self.forget, self.most = learn, forget, most
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of all chunks of all texts, and where each text's begin, with the end last."""
-        if len(self.first) + len(self.later) > MEMO:
+        if len(self.first) + len(self.later) > (self.most or MEMO):
             self.first, self.later = {}, {}
             self.forget()
         parts = [cut(t) for t in texts]
@@ -140,9 +146,10 @@ class Codec:
         self.chunks = Chunks(self._learn, self._forget)
         self._forget()
         self.token_size = np.full(max(self.id_of_piece) + 1, -1, dtype=np.int64)
-        self.token_size[self.id_of_piece] = [len(t) for t, _ in order]
+        decoded = [_bytes_of(p) for p in self.model.id_to_piece(list(range(len(order))))]
+        self.token_size[self.id_of_piece] = list(map(len, decoded))
         self.token_start = np.cumsum(np.maximum(self.token_size, 0)) - np.maximum(self.token_size, 0)
-        self.token_bytes = np.frombuffer(b"".join(t for t, _ in order), dtype=np.uint8)
+        self.token_bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
 
     def _forget(self) -> None:
         self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
@@ -239,14 +246,21 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "
 
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = IDS, rows: int = 64) -> DataFrame:
-    """Adds ``decoded``, the bytes that a column of ids stands for; null gives null, an id outside the vocabulary is an error."""
+    """Adds ``decoded``, the bytes that a column of ids stands for: the model's pieces, each mapped back to bytes.
+
+    Cases: null gives null, no ids give no bytes, an id outside the vocabulary is an error; a column of the added name
+    is replaced; other columns, repeated rows and empty tables pass as they are.
+    """
     docs = docs.drop(DECODED)
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(_decoder(_vocabulary(vocabulary), "", docs.columns.index(ids_col), rows), _with(docs, _DECODED_FIELD))
 
 
 def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", rows: int = 64) -> DataFrame:
-    """Adds ``token_ids`` and, decoded from them, ``decoded``, in one pass through one Python worker."""
+    """Adds ``token_ids`` and, decoded from them, ``decoded``, in one pass through one Python worker.
+
+    Cases are those of ``bpe_encode``; null texts decode to no bytes. Columns of both added names are replaced.
+    """
     docs = docs.drop(IDS, DECODED)
     bound_batches(docs.sparkSession)
     data = _vocabulary(vocabulary)
@@ -256,7 +270,11 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text_col: str
 
 
 def token_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes the texts: (id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Encodes and decodes the texts: (id, n_tokens, ids_sha256, decoded_sha256), one row a document.
+
+    Cases: null counts as empty, whose digests are those of nothing; rows that repeat, and rows without an id, have a
+    row each; an empty table gives an empty result; other columns are ignored.
+    """
     read = bpe_round_trip(docs.select(id_col, text_col), vocabulary, pattern, text_col)
     told = F.array_join(F.col(IDS).cast("array<string>"), ",")
     return read.select(

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import Chunks
 from millrace.llm.shared import BROADCAST_ROWS, bound_batches, fresh_path, join_sized, lean_worker, materialize
 
+#: Distinct chunks whose counts a worker remembers, about 150 bytes each.
+MEMO = 400_000
 CACHE_SCHEMA = "digest binary, n_tokens long, version string"
 
 
@@ -31,7 +33,7 @@ class Counter:
 
     def __init__(self, data: bytes, kind: str) -> None:
         self.by_chunk = False
-        self.chunks = Chunks(lambda new: self.known.extend(self.count(new)), self._forget)
+        self.chunks = Chunks(lambda new: self.known.extend(self.count(new)), self._forget, MEMO)
         self._forget()
         if kind == ".model":
             model = sentencepiece.SentencePieceProcessor(model_proto=data)
