@@ -3,34 +3,74 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Buckets of a histogram; rows that an exact split ranks at a time, if their ids differ.
+BUCKETS, RANKED = 4096, 10_000
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def exact_quantiles(df: DataFrame, bounds: Mapping[str, tuple[int, float, float]], shares: Sequence[float]) -> dict[tuple[str, float], float]:
+    """Quantiles that interpolate between neighbours, as (column, share) -> value. bounds: count, least and largest of a column.
+
+    The ranks wanted are found in histograms: each pass counts the rows of the ranges that still hold one, in
+    BUCKETS buckets each, and goes on with the bucket's own least and largest value. A range shrinks at least by that
+    factor, so a few passes suffice however many values differ, and no more than BUCKETS rows a range reach the driver.
+    """
+    wanted, at = {}, {}
+    for c, (n, low, high) in bounds.items():
+        for share in shares:
+            place = share * (n - 1)
+            wanted[c, share] = math.floor(place), math.ceil(place), place - math.floor(place)
+            for rank in wanted[c, share][:2]:
+                at[c, rank] = (low, high, 0)
+    while ranges := sorted({(c, *span) for (c, _), span in at.items() if span[0] < span[1]}):
+        one = []
+        for no, (c, low, high, _) in enumerate(ranges):
+            v = F.col(c).cast("double")
+            step = F.least(F.floor((v - low) / (high - low) * BUCKETS), F.lit(BUCKETS - 1))
+            one.append(F.when(v.between(low, high), F.struct(F.lit(no).alias("no"), step.alias("b"), v.alias("v"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*one))).alias("x")).select("x.*")
+        counted = rows.groupBy("no", "b").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        found: dict[int, list] = {}
+        for r in counted.orderBy("no", "b").collect():
+            found.setdefault(r.no, []).append(r)
+        for (c, rank), span in at.items():
+            if span[0] < span[1]:
+                below = span[2]
+                for r in found[ranges.index((c, *span))]:
+                    if rank < below + r.n:
+                        break
+                    below += r.n
+                ends = {below: r.low, below + r.n - 1: r.high}
+                at[c, rank] = (ends[rank], ends[rank], below) if rank in ends else (r.low, r.high, below)
+    value = lambda c, rank: at[c, rank][0]
+    return {(c, s): value(c, a) + (value(c, b) - value(c, a)) * part for (c, s), (a, b, part) in wanted.items()}
 
 
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """One row a column: count, mean, sample deviation, least, quartiles and largest.
 
-    All columns are aggregated in one pass. Exact quartiles interpolate between neighbours and keep the counts of
-    distinct values in the aggregation buffers, which suits columns of limited precision; ``exact=False`` bounds the
-    memory for others.
+    One pass aggregates all columns; exact quartiles need a few more (``exact_quantiles``), ``exact=False`` has
+    approximate ones in the same pass. Nulls do not count; columns without a value have nulls. Columns must be finite.
     """
-    quantile = F.percentile if exact else lambda c, p: F.percentile_approx(c, p, 100_000).cast("double")
-    stats = (
-        ("count", F.count),
-        ("mean", F.avg),
-        ("std", F.stddev_samp),
-        ("min", F.min),
-        ("q25", lambda c: quantile(c, 0.25)),
-        ("q50", lambda c: quantile(c, 0.5)),
-        ("q75", lambda c: quantile(c, 0.75)),
-        ("max", F.max),
-    )
-    one = df.agg(*[F.struct(*[f(c).alias(n) for n, f in stats]).alias(c) for c in columns])
-    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{n}").alias(n) for n, _ in stats]) for c in columns]
-    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    rough = lambda c: [] if exact else [F.percentile_approx(c, list(QUARTILES), 100_000).alias("q")]
+    one = df.agg(*[F.struct(*[f(F.col(c).cast("double")).alias(n) for n, f in stats.items()], *rough(c)).alias(c) for c in columns]).first()
+    bounds = {c: (one[c]["count"], one[c]["min"], one[c]["max"]) for c in columns if one[c]["count"]}
+    found = exact_quantiles(df.select(*bounds), bounds, QUARTILES) if exact and bounds else {}
+    rows = []
+    for c in columns:
+        q = [found.get((c, s)) for s in QUARTILES] if exact else [float(x) for x in one[c]["q"]] if one[c]["q"] else [None] * 3
+        rows.append((c, one[c]["count"], one[c]["mean"], one[c]["std"], one[c]["min"], *q, one[c]["max"]))
+    kinds = "column string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return df.sparkSession.createDataFrame(rows, kinds)
 
 
 def shape(df: DataFrame) -> tuple[int, int]:
@@ -83,21 +123,29 @@ def parts_needed(shares: DataFrame, above_pct: float) -> DataFrame:
 def exact_split(df: DataFrame, row_id: str, fraction: float, seed: str = "") -> DataFrame:
     """Adds ``is_test``: exactly ceil(fraction * n) rows, those of the smallest md5 of the id.
 
-    A histogram over the first three hexadecimal digits finds the bucket where the count is reached; only that
-    bucket's rows, one in 4,096, are ranked. Rows that share an id are told apart by nothing and go by chance.
+    Histograms over three hexadecimal digits at a time find the bucket where the count is reached, until it holds RANKED rows
+    at most; only these are ranked. Rows that share an id go by a hash of the row, and rows without one by that hash
+    alone, so reruns agree. Rows that are alike in all columns are told apart by nothing; if very many are, they are
+    ranked in one task.
     """
-    digest = F.md5(F.concat(F.col(row_id).cast("string"), F.lit(seed)))
-    keyed = df.withColumn("__d", digest).withColumn("__b", F.substring("__d", 1, 3))
-    sizes = sorted((r[0] or "", r[1]) for r in keyed.groupBy("__b").count().collect())
-    want, edge = math.ceil(fraction * sum(n for _, n in sizes) - 1e-9), "~"
-    for edge, n in sizes:
-        if want <= n:
+    whole = F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)])
+    digest = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.concat(F.lit("row "), whole.cast("string"))), F.lit(seed)))
+    keyed = df.withColumns({"__d": digest, "__h": whole})
+    want, edge, size = 0, "", 0
+    for digits in range(3, 33, 3):
+        sizes = keyed.where(F.col("__d").startswith(edge)).groupBy(F.substring("__d", 1, digits).alias("b")).count().collect()
+        if not edge:
+            want = math.ceil(fraction * sum(r["count"] for r in sizes) - 1e-9)
+        for edge, size in sorted((r["b"], r["count"]) for r in sizes):
+            if want <= size:
+                break
+            want -= size
+        if size <= RANKED:
             break
-        want -= n
-    b = F.coalesce("__b", F.lit(""))
-    inside = keyed.where(b == edge).withColumn("is_test", F.row_number().over(Window.orderBy("__d")) <= want)
-    rest = keyed.where(b != edge).withColumn("is_test", F.coalesce("__b", F.lit("")) < edge)
-    return rest.unionByName(inside).drop("__d", "__b")
+    start = F.substring("__d", 1, len(edge))
+    inside = keyed.where(start == edge).withColumn("is_test", F.row_number().over(Window.orderBy("__d", "__h")) <= want)
+    rest = keyed.where(start != edge).withColumn("is_test", start < edge)
+    return rest.unionByName(inside).drop("__d", "__h")
 
 
 def standard_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
