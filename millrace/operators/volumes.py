@@ -17,24 +17,27 @@ def mean_image(volume: DataFrame) -> DataFrame:
     return volume.groupBy(*PLACE).agg(F.avg("value").alias("mean_value"))
 
 
-def gaussian_offsets(fwhm: float, voxel: float, reach: int) -> list[tuple[int, int, int, float]]:
-    """Offsets within ``reach`` voxels an axis and their weights, which sum to 1."""
+def gaussian_weights(fwhm: float, voxel: float = 1.0) -> list[tuple[int, float]]:
+    """Offsets along an axis, up to four deviations, and their weights, which sum to 1."""
     sigma = fwhm / voxel / math.sqrt(8 * math.log(2))
-    axis = {d: math.exp(-(d**2) / (2 * sigma**2)) for d in range(-reach, reach + 1)}
-    total = sum(axis.values()) ** 3
-    return [(a, b, c, axis[a] * axis[b] * axis[c] / total) for a in axis for b in axis for c in axis]
+    reach = math.floor(4 * sigma + 0.5)
+    axis = {d: math.exp(-(d**2) / (2 * sigma**2)) if sigma else 1.0 for d in range(-reach, reach + 1)}
+    return [(d, w / sum(axis.values())) for d, w in axis.items()]
 
 
-def smooth(volume: DataFrame, fwhm: float, voxel: float = 1.0, reach: int = 1) -> DataFrame:
-    """Gaussian smoothing: every value is handed to its neighbours and weighted sums meet there; beyond the edge is 0.
+def smooth(volume: DataFrame, fwhm: float, voxel: float = 1.0) -> DataFrame:
+    """Gaussian smoothing, one axis after the other; beyond the edge, and where a voxel is absent, is 0.
 
-    The offsets are an array literal of (2 * reach + 1)**3 entries, and the sums are combined before the shuffle.
+    Along an axis every value is handed to its neighbours and weighted sums meet there, combined before the shuffle.
     """
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "abcw")]) for o in gaussian_offsets(fwhm, voxel, reach)])
-    spread = volume.withColumn("o", F.explode(offsets))
-    moved = spread.select(*[(F.col(p) + F.col(f"o.{d}")).alias(p) for p, d in zip(PLACE, "abc")], "t", (F.col("value") * F.col("o.w")).alias("part"))
-    summed = moved.groupBy(*PLACE, "t").agg(F.sum("part").alias("value"))
-    return volume.select(*PLACE, "t").join(summed, [*PLACE, "t"]).select(*PLACE, "t", "value")
+    weights = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in gaussian_weights(fwhm, voxel)])
+    spread = volume.select(*PLACE, "t", "value")
+    for axis in PLACE:
+        moved = spread.withColumn("o", F.explode(weights)).withColumns({axis: F.col(axis) + F.col("o.d"), "value": F.col("value") * F.col("o.w")})
+        spread = moved.groupBy(*PLACE, "t").agg(F.sum("value").alias("value"))
+    kinds = {f.name: f.dataType for f in volume.schema.fields}
+    spread = spread.withColumns({p: F.col(p).cast(kinds[p]) for p in PLACE})
+    return volume.select(*PLACE, "t").join(spread, [*PLACE, "t"]).select(*PLACE, "t", "value")
 
 
 def masked(volume: DataFrame, mask: DataFrame) -> DataFrame:
@@ -42,9 +45,9 @@ def masked(volume: DataFrame, mask: DataFrame) -> DataFrame:
     return volume.join(mask.select(*PLACE), list(PLACE), "left_semi")
 
 
-def mask_transform(volume: DataFrame, mask: DataFrame, fwhm: float, voxel: float = 1.0, reach: int = 1) -> DataFrame:
+def mask_transform(volume: DataFrame, mask: DataFrame, fwhm: float, voxel: float = 1.0) -> DataFrame:
     """Smooths, keeps the mask's voxels and standardizes each over time."""
-    return standardize_group(masked(smooth(volume, fwhm, voxel, reach), mask), PLACE, "value")
+    return standardize_group(masked(smooth(volume, fwhm, voxel), mask), PLACE, "value")
 
 
 def inverse_mask(values: DataFrame, space: DataFrame, others: Sequence[str] = ("component",)) -> DataFrame:

@@ -5,7 +5,6 @@ Floating-point results are rounded to six decimals, in the SQL as well.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +12,8 @@ from millrace.functions import scalars as fn
 from millrace.operators import forest, matrix, relational, statistics, volumes
 from millrace.plans.registry import Registry
 from millrace.sources.tables import long_features, scan
-from millrace.sources.volumes import encode, volume_rows
+from millrace.sources.volumes import scan_volumes, write_volumes
+from millrace.sources.workspace import fresh_path
 
 R = Registry()
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -26,7 +26,8 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _dim(df: DataFrame) -> int:
-    return df.select(F.size("embedding")).first()[0]
+    """The length that most vectors have, the shorter one if equally many."""
+    return df.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first().dim
 
 
 @R.add(_LONG + "SELECT vec_id, pos, round(value, 6) AS value, label FROM f")
@@ -34,13 +35,14 @@ def s1_feature_matrix(spark, sf):
     return _features(spark, sf).withColumn("value", F.round("value", 6))
 
 
-@R.add(_LONG + "SELECT vec_id AS x, pos AS t, round(value, 6) AS value FROM f WHERE vec_id < 64 AND pos < 12")
+@R.add(_LONG + "SELECT vec_id % 64 AS x, vec_id // 64 AS z, pos AS t, round(value, 6) AS value FROM f")
 def s3_open_volume(spark, sf):
-    """A small image is written as a file's bytes and opened again."""
-    rows = scan(spark, sf, "embeddings").where("vec_id < 64").orderBy("vec_id").select("embedding").collect()
-    content = encode(np.array([r[0][:12] for r in rows], dtype=float)[:, None, None, :])
-    opened = volume_rows(spark.createDataFrame([("subject.nii", content)], "path string, content binary"))
-    return opened.select(F.col("x").cast("long").alias("x"), "t", F.round("value", 6).alias("value"))
+    """A file for each 64 voxels is written by the tasks into a folder, and the folder is opened."""
+    folder = fresh_path(spark, "volumes")
+    write_volumes(scan(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("z"), (F.col("vec_id") % 64).alias("x"), "embedding"), folder)
+    opened = scan_volumes(spark, folder)
+    z = F.regexp_extract("path", r"(\d+)\.nii$", 1).cast("long").alias("z")
+    return opened.where(~F.isnan("value")).select(F.col("x").cast("long").alias("x"), z, "t", F.round("value", 6).alias("value"))
 
 
 def _describe_sql(c: str) -> str:
@@ -89,13 +91,13 @@ def g6_accuracy(spark, sf):
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 
-_VOLUME = _LONG + """, vol AS (SELECT vec_id % 8 AS x, (vec_id // 8) % 8 AS y, vec_id // 64 AS z, pos AS t, value FROM f WHERE pos < 12) """
+_VOLUME = _LONG + """, vol AS (SELECT vec_id % 8 AS x, (vec_id // 8) % 8 AS y, vec_id // 64 AS z, pos AS t, value FROM f) """
 
 
 def _volume(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("vec_id")
     places = (v % 8).alias("x"), (F.floor(v / 8) % 8).alias("y"), F.floor(v / 64).alias("z")
-    return _features(spark, sf).where("pos < 12").select(*places, F.col("pos").alias("t"), "value")
+    return _features(spark, sf).select(*places, F.col("pos").alias("t"), "value")
 
 
 @R.add(_VOLUME + "SELECT x, y, z, round(avg(value), 6) AS mean_value FROM vol GROUP BY x, y, z")
@@ -224,6 +226,13 @@ def a6_forest_accuracy(spark, sf):
     return every.unionByName(statistics.accuracy(small.transform(best)).withColumn("features", F.lit("top 10")))
 
 
+@R.add()
+def a7_refit_accuracy(spark, sf):
+    """The forest of the ten most important features alone."""
+    *_, small, best = _forests(spark, sf)
+    return statistics.accuracy(small.transform(best))
+
+
 @R.add()
 def g9_importance(spark, sf):
     ranked = _forests(spark, sf)[2]
@@ -231,17 +240,18 @@ def g9_importance(spark, sf):
 
 
 def _mask(volume: DataFrame) -> DataFrame:
-    return volume.where("x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6").select("x", "y", "z").distinct()
+    """The voxels whose mean over time is above 0."""
+    return volumes.mean_image(volume).where("mean_value > 0").select(*volumes.PLACE)
 
 
-_OFFSETS = ", ".join(f"({a}, {b}, {c}, {w!r}::DOUBLE)" for a, b, c, w in volumes.gaussian_offsets(8, 4, 1))
-
+_MASK = "SELECT x, y, z FROM vol GROUP BY x, y, z HAVING avg(value) > 0"
 
 @R.add(
     _VOLUME
-    + f""", o(a, b, c, w) AS (VALUES {_OFFSETS}),
- sm AS (SELECT v.x + a AS x, v.y + b AS y, v.z + c AS z, t, sum(value * w) AS value FROM vol v, o GROUP BY ALL),
- mk AS (SELECT sm.* FROM sm JOIN vol USING (x, y, z, t) WHERE sm.x BETWEEN 1 AND 6 AND sm.y BETWEEN 1 AND 6)
+    + f""", w1 AS (SELECT d, exp(-d * d / (2 * pow(8 / 4 / sqrt(8 * ln(2)), 2))) AS w FROM (SELECT unnest(range(-3, 4)) AS d)),
+ ax AS (SELECT d, w / sum(w) OVER () AS w FROM w1),
+ sm AS (SELECT v.x + a.d AS x, v.y + b.d AS y, v.z + c.d AS z, t, sum(value * a.w * b.w * c.w) AS value FROM vol v, ax a, ax b, ax c GROUP BY ALL),
+ mk AS (SELECT sm.* FROM sm JOIN ({_MASK}) USING (x, y, z))
  SELECT x, y, z, t, round((value - avg(value) OVER p) / stddev_pop(value) OVER p, 5) AS value FROM mk WINDOW p AS (PARTITION BY x, y, z)"""
 )
 def a8_mask_transform(spark, sf):
@@ -273,7 +283,11 @@ def a10_hard_threshold(spark, sf):
     return _cut(spark, sf).select("x", "y", "z", "component", F.round("value", 6).alias("value"))
 
 
-@R.add(_CUT + "SELECT x, y, z, component, round(CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN value ELSE 0.0 END, 6) AS value FROM c")
+@R.add(
+    _CUT
+    + f"""SELECT c.x, c.y, c.z, component, round(CASE WHEN m.x IS NOT NULL THEN value ELSE 0.0 END, 6) AS value
+ FROM c LEFT JOIN ({_MASK}) m ON c.x = m.x AND c.y = m.y AND c.z = m.z"""
+)
 def a11_inverse_mask(spark, sf):
     space = _cut(spark, sf)
     inside = volumes.masked(space, _mask(_volume(spark, sf)))

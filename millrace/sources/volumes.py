@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed values of the file format: data types by code.
@@ -56,5 +57,27 @@ def volume_rows(files: DataFrame, path: str = "path", content: str = "content")
     return files.select(path, content).mapInArrow(run, "path string, x int, y int, z int, t int, value double")
 
 
+def write_volumes(rows: DataFrame, folder: str) -> int:
+    """Writes from (z, x, embedding) a file ``z.nii`` for each z, of voxels along x and the embedding over time; number of files.
+
+    A file's voxels meet in one task, which writes it; ``folder`` is a path or URI that all executors reach. Voxels that are
+    absent are NaN.
+    """
+
+    def write(table: pa.Table) -> pa.Table:
+        series, x = table.column("embedding").to_pylist(), np.asarray(table.column("x"))
+        values = np.full((int(x.max()) + 1, 1, 1, max(map(len, series))), np.nan)
+        for at, own in zip(x, series):
+            values[at, 0, 0, : len(own)] = own
+        files, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        files.create_dir(root, recursive=True)
+        name = f"{table.column('z')[0].as_py()}.nii"
+        with files.open_output_stream(f"{root}/{name}") as out:
+            out.write(encode(values))
+        return pa.table({"name": [name]})
+
+    return rows.groupBy("z").applyInArrow(write, "name string").count()
+
+
 def scan_volumes(spark: SparkSession, folder: str, pattern: str = "*.nii*") -> DataFrame:
     return volume_rows(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
