@@ -76,6 +76,17 @@ def missing_profiles(users: DataFrame, profiles: DataFrame, user_key: str, profi
     return users.join(profiles, users[user_key] == profiles[profile_key], "left_anti")
 
 
+def insert_missing(profiles: DataFrame, users: DataFrame, profile_key: str, user_key: str, **defaults) -> DataFrame:
+    """Appends a profile of defaults for every user that has none; columns without a default are null.
+
+    A null key belongs to nobody: such users get no profile. Users that repeat get one.
+    """
+    missing = missing_profiles(users.where(F.col(user_key).isNotNull()), profiles, user_key, profile_key).select(user_key).distinct()
+    kinds = {f.name: f.dataType for f in profiles.schema.fields}
+    value = lambda c: F.col(user_key) if c == profile_key else F.lit(defaults.get(c))
+    return profiles.unionByName(missing.select(*[value(c).cast(kinds[c]).alias(c) for c in profiles.columns]))
+
+
 def duplicated(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key occurs more than once; null keys do not count. Only key counts are shuffled before the join."""
     again = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
@@ -118,7 +129,15 @@ def append_rows(df: DataFrame, new: DataFrame, **server_set) -> DataFrame:
 
 
 def update_by_key(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Full update: a row whose key is in ``changes`` takes its values of the columns that ``changes`` has, nulls too."""
+    """Full update: a row whose key is in ``changes`` takes its values of the columns that ``changes`` has, nulls too.
+
+    Of changes that repeat a key the one of the largest values counts, column by column from the first; null keys match nothing.
+    """
+    others = [c for c in changes.columns if c != key]
+    if others:
+        changes = changes.groupBy(key).agg(F.max(F.struct(*others)).alias("__last")).select(key, *[F.col(f"__last.{c}").alias(c) for c in others])
+    else:
+        changes = changes.distinct()
     named = changes.select([F.col(c).alias(f"__new_{c}") for c in changes.columns]).withColumn("__hit", F.lit(True))
     joined = df.join(named, F.col(key) == F.col(f"__new_{key}"), "left")
     value = lambda c: F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns else F.col(c)
@@ -130,6 +149,11 @@ def soft_delete(df: DataFrame, gone: Column, as_of: Column, column: str = "delet
     return df.withColumn(column, F.when(gone, as_of).otherwise(F.col(column)))
 
 
+def delete_users(df: DataFrame, gone: Column, as_of: Column, column: str = "deleted_at", active: str = "is_active") -> DataFrame:
+    """Marks users as deleted and no longer active."""
+    return soft_delete(df, gone, as_of, column).withColumn(active, F.when(gone, False).otherwise(F.col(active)))
+
+
 def alive(df: DataFrame, column: str = "deleted_at") -> DataFrame:
     return df.where(F.col(column).isNull())
 

@@ -177,9 +177,23 @@ def j1_profile_organization(spark, sf):
     return op.own_profile(users, scan(spark, sf, "orders"), "c_custkey", "o_custkey").select("o_orderkey", "n_name")
 
 
-@R.add("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_URGENT = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
+
+
+@R.add(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_URGENT})")
 def u4_missing_profiles(spark, sf):
-    return op.missing_profiles(scan(spark, sf, "customer"), scan(spark, sf, "orders"), "c_custkey", "o_custkey").select("c_custkey")
+    profiles = scan(spark, sf, "orders").where(_URGENT)
+    return op.missing_profiles(scan(spark, sf, "customer"), profiles, "c_custkey", "o_custkey").select("c_custkey")
+
+
+@R.add(
+    f"""SELECT o_orderkey, o_custkey, 'en' AS language, FALSE AS derived FROM orders WHERE {_URGENT}
+ UNION ALL SELECT NULL, c_custkey, 'es', TRUE FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE {_URGENT})"""
+)
+def u4_derived_profiles(spark, sf):
+    """Every user without a profile gets one of defaults."""
+    profiles = scan(spark, sf, "orders").where(_URGENT).select("o_orderkey", "o_custkey", F.lit("en").alias("language"), F.lit(False).alias("derived"))
+    return op.insert_missing(profiles, scan(spark, sf, "customer"), "o_custkey", "c_custkey", language="es", derived=True)
 
 
 def _age_sql(since: str, as_of: str) -> str:
@@ -256,13 +270,25 @@ def c2_duplicated_keys(spark, sf):
     return op.duplicated(scan(spark, sf, "orders"), "o_custkey").select("o_orderkey", "o_custkey")
 
 
+_CODE = "(s_suppkey - CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END) * 40"
+
+
 @R.add(
-    """SELECT s_suppkey, s_nationkey, count(*) OVER (PARTITION BY s_nationkey) = 1
- AND s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20) AS "unique" FROM supplier"""
+    f"""SELECT s_suppkey, code, count(*) OVER (PARTITION BY code) = 1 AND code NOT IN (SELECT c_custkey FROM customer) AS "unique"
+ FROM (SELECT s_suppkey, CAST({_CODE} AS BIGINT) AS code FROM supplier)"""
 )
 def c2_unique_against_existing(spark, sf):
-    existing = scan(spark, sf, "customer").where("c_custkey < 20").withColumnRenamed("c_nationkey", "s_nationkey")
-    return op.uniqueness(scan(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), existing, "s_nationkey")
+    new = scan(spark, sf, "supplier").select("s_suppkey", F.expr(_CODE).cast("long").alias("code"))
+    return op.uniqueness(new, scan(spark, sf, "customer").withColumnRenamed("c_custkey", "code"), "code")
+
+
+_EMAIL = "CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat('u', c_custkey, '@example') WHEN 2 THEN concat('u', c_custkey, '@example.org') ELSE concat('u ', c_custkey, '@a.example.org') END"
+
+
+@R.add(rf"SELECT c_custkey, regexp_matches({_EMAIL}, '^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$') AS valid FROM customer")
+def c1_email_form(spark, sf):
+    checked = op.validate(scan(spark, sf, "customer"), op.profile_checks(F.lit("es"), {}, F.expr(_EMAIL)))
+    return checked.select("c_custkey", (F.size("errors") == 0).alias("valid"))
 
 
 @R.add(
@@ -299,6 +325,21 @@ def u3_alive(spark, sf):
     return op.alive(_profiles(spark, sf)).select("o_orderkey")
 
 
+@R.add(
+    f"""SELECT c_custkey, c_custkey % 10 <> 3 AND c_acctbal >= 0 AS is_active, CASE WHEN c_custkey % 10 = 3 THEN TIMESTAMP '{AS_OF}' END AS deleted_at
+ FROM customer"""
+)
+def u3_deleted_users(spark, sf):
+    users = _users(spark, sf).withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    gone = op.delete_users(users, F.col("c_custkey") % 10 == 3, F.lit(AS_OF).cast("timestamp"))
+    return gone.select("c_custkey", "is_active", "deleted_at")
+
+
+@R.add("SELECT c_custkey, true AS is_active, true AS is_staff, true AS is_superuser FROM customer")
+def u5_new_superusers(spark, sf):
+    return op.new_users(scan(spark, sf, "customer").select("c_custkey"), superuser=True)
+
+
 @R.add("SELECT c_custkey, true AS is_active, false AS is_staff, false AS is_superuser FROM customer")
 def u5_new_users(spark, sf):
     return op.new_users(scan(spark, sf, "customer").select("c_custkey"))
