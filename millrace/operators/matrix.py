@@ -32,13 +32,17 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, vector: str) -> Scaler:
+    """Each position over the values it has: null vectors and null components do not count."""
     rows = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
     stats = rows.groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("pos").collect()
     return Scaler(tuple(r.m for r in stats), tuple(r.s for r in stats))
 
 
 def moments(df: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and population covariance. Tasks emit one sum of outer products each; dim * dim values are summed."""
+    """Rows, mean and population covariance. Tasks emit one sum of outer products each; dim * dim values are summed.
+
+    Vectors that are null, of another length or hold a null component are left out.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim + 1, dim + 1))
@@ -48,7 +52,7 @@ def moments(df: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.n
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "x"])
 
-    known = df.select(F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim)
+    known = df.select(F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull()))
     sums = known.mapInArrow(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     total = np.zeros((dim + 1) ** 2)
     for r in sums:
@@ -128,7 +132,7 @@ def fast_ica(df: DataFrame, vector: str, dim: int, k: int, seed: int = 42, max_r
     values, vectors = np.linalg.eigh(cov)
     top = np.argsort(-values)[:k]
     white = (vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12))).T
-    rows = materialize(df.select(F.col(vector).cast("array<double>").alias("v")).where(F.size("v") == dim), "ica")
+    rows = materialize(df.select(F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull())), "ica")
 
     def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,40 @@ def test_describe_interpolates_quartiles(spark):
     assert statistics.describe(spark.createDataFrame([], "x double"), ["x"]).first()["count"] == 0
 
 
+def test_quantiles_of_many_values(spark, monkeypatch):
+    """Several rounds, ties, nulls, few rows and wide ranges, against NumPy."""
+    monkeypatch.setattr(statistics, "BUCKETS", 7)
+    rng = np.random.default_rng(0)
+    columns = rng.lognormal(0, 6, 3000), np.round(rng.standard_normal(3000), 1), np.full(3000, 4.0)
+    rows = [(*map(float, r[:2]), float(r[2]) if i % 2 else None, None) for i, r in enumerate(zip(*columns))]
+    frame = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for n in (3000, 2, 1):
+        got = {r["column"]: r for r in statistics.describe(frame.limit(n), ["a", "b", "c", "d"]).collect()}
+        for c, x in (("a", columns[0][:n]), ("b", columns[1][:n])):
+            assert [got[c][q] for q in ("q25", "q50", "q75")] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75]).tolist())
+        assert got["d"]["count"] == 0 and got["d"].q50 is None
+    assert statistics.describe(frame, ["a"], exact=False).first().q50 == pytest.approx(np.median(columns[0]), rel=0.02)
+
+
+def test_split_of_rows_that_share_an_id_or_have_none(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "RANKED", 3)
+    frame = spark.createDataFrame([(i % 3 if i % 2 else None, float(i)) for i in range(200)], "k long, x double")
+    one, two = (sorted(map(str, statistics.exact_split(frame.repartition(n), "k", 0.3).collect())) for n in (1, 5))
+    assert one == two and sum("is_test=True" in r for r in one) == 60
+
+
+def test_changes_that_repeat_a_key_do_not_multiply_rows(spark):
+    rows, changes = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k long, v string"), [(1, "x"), (1, "y"), (None, "z"), (3, "w")]
+    got = relational.update_by_key(rows, spark.createDataFrame(changes, "k long, v string"), "k").collect()
+    assert sorted(got, key=str) == [(1, "y"), (2, "b"), (None, "c")]
+
+
+def test_missing_profiles_are_made(spark):
+    profiles, users = spark.createDataFrame([(9, 1, "en")], "id long, owner long, language string"), spark.createDataFrame([(1,), (2,), (2,), (None,)], "u long")
+    got = relational.insert_missing(profiles, users, "owner", "u", language="es").collect()
+    assert sorted(map(tuple, got), key=str) == [(9, 1, "en"), (None, 2, "es")]
+
+
 def test_anova_known_values(spark, sf):
     rows = statistics.anova_f(feature_queries._features(spark, sf)).orderBy(F.desc("f_score")).limit(5).collect()
     assert [r.pos for r in rows] == [60, 31, 5, 51, 25]
@@ -116,6 +150,12 @@ def test_standardized_columns(spark, vectors, values):
     assert sorted(map(tuple, statistics.standard_scores(flat, ["a", "b"]).collect())) == [(1, -1.0, 0.0), (2, 1.0, 0.0)]
 
 
+def test_moments_leave_odd_vectors_out(spark):
+    rows = [([1.0, 2.0],), ([3.0, 6.0],), (None,), ([5.0, None],), ([7.0],)]
+    n, mean, cov = matrix.moments(spark.createDataFrame(rows, "v array<double>"), "v", 2)
+    assert n == 2 and mean.tolist() == [2, 4] and cov.tolist() == [[1, 2], [2, 4]]
+
+
 def test_components_match_numpy(spark, vectors, values):
     x = (values - values.mean(0)) / values.std(0)
     scaled = matrix.fit_scaler(vectors, "embedding").transform(vectors, "embedding")
@@ -167,10 +207,13 @@ def test_forest_queries_fit_whole_forests(spark, sf):
 
 
 def test_smoothing_keeps_the_sum_inside(spark):
-    cells = [(x, y, z, 0, 1.0 if (x, y, z) == (2, 2, 2) else 0.0) for x in range(5) for y in range(5) for z in range(5)]
-    out = volumes.smooth(spark.createDataFrame(cells, "x int, y int, z int, t int, value double"), fwhm=2, reach=2)
-    assert out.agg(F.sum("value")).first()[0] == pytest.approx(1) and out.count() == 125
-    assert out.where("value > 0").agg(F.max(F.struct("value", "x", "y", "z")).alias("m")).first().m[1:] == (2, 2, 2)
+    cells = [(x, y, z, 0, 1.0 if (x, y, z) == (3, 3, 3) else 0.0) for x in range(7) for y in range(7) for z in range(7)]
+    out = volumes.smooth(spark.createDataFrame(cells, "x int, y int, z int, t int, value double"), fwhm=2)
+    got = {(r.x, r.y, r.z): r.value for r in out.collect()}
+    assert sum(got.values()) == pytest.approx(1) and len(got) == 343
+    ratio = math.exp(-1 / (2 * (2 / math.sqrt(8 * math.log(2))) ** 2))
+    assert got[3, 3, 4] / got[3, 3, 3] == pytest.approx(ratio) and got[2, 4, 3] / got[3, 3, 3] == pytest.approx(ratio**2)
+    assert [d for d, _ in volumes.gaussian_weights(8, 1)] == list(range(-14, 15))
 
 
 def test_volume_files(spark, tmp_path):
