@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import BROADCAST_ROWS, free_name, join_sized, materialize, sized_broadcast
@@ -37,8 +37,8 @@ def exact_dedup(
     while they fit ``broadcast_rows``; beyond it rows are joined by key. The hash, not the text, decides the group.
 
     Cases: a null text equals the empty one. Null ids sort below all others. Rows that repeat both id and text are
-    copies of each other: exactly one of them stays; such rows alone are told apart by a window, all of one id and text
-    in one task. An empty table gives an empty result. Columns of these names that the input has already are replaced;
+    copies of each other: exactly one of them stays; such rows alone are numbered, and the lowest number of an id and
+    text is combined before the exchange, so however many there are no task gathers them. An empty table gives an empty result. Columns of these names that the input has already are replaced;
     all its other columns are carried along.
     """
     docs = docs.drop("keep_id", "group_size", "kept")
@@ -57,13 +57,19 @@ def exact_dedup(
     small = groups.limit(broadcast_rows + 1).count() <= broadcast_rows
     met = rivals.join(F.broadcast(groups.drop("n")), full) if small else join_sized(rivals, groups, full, deal=F.xxhash64(id_col))
 
-    other, row = free_name(docs, "row_full"), free_name(docs, "row_id")
-    twice = sized_broadcast(rows.where("n > 1").select(F.col(full).alias(other), F.col("id").alias(row)), broadcast_rows)
-    same = (F.col(full) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(row))
-    number = F.row_number().over(Window.partitionBy(full, id_col).orderBy(F.lit(1)))
-    numbered = met.join(twice, same, "left_semi").withColumn(copy, number)
-    decided = met.join(twice, same, "left_anti").withColumn(copy, F.lit(1)).unionByName(numbered)
-    decided = decided.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col(copy) == 1))
+    again = rows.where("n > 1")
+    if again.isEmpty():
+        decided = met.withColumn(copy, F.lit(True))
+    else:
+        other, row, number = (free_name(docs, n) for n in ("row_full", "row_id", "row_no"))
+        twice = sized_broadcast(again.select(F.col(full).alias(other), F.col("id").alias(row)), broadcast_rows)
+        same = (F.col(full) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(row))
+        # Numbers are written before they are compared, so that a task that runs again gives the same ones.
+        numbered = materialize(met.join(twice, same, "left_semi").withColumn(number, F.monotonically_increasing_id()), "dedup-copies")
+        lowest = numbered.groupBy(full, id_col).agg(F.min(number).alias(number)).select(number, F.lit(True).alias(copy))
+        decided = numbered.join(lowest, number, "left").withColumn(copy, F.coalesce(F.col(copy), F.lit(False))).drop(number)
+        decided = met.join(twice, same, "left_anti").withColumn(copy, F.lit(True)).unionByName(decided)
+    decided = decided.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & F.col(copy))
     out = [*docs.columns, "keep_id", "group_size", "kept"]
     alone = first.withColumns({"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return alone.select(out).unionByName(decided.select(out))

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tag") == F.col("first.tag"))
     gone = join_sized(found, materialize(first, "simhash-first"), "root").where(~same).select("id", "tag").distinct()
     twice = found.groupBy("id", "tag").count().where("count > 1").select("id", "tag")
-    tag, key, other, copy = (free_name(docs, n) for n in ("row_tag", "row_id", "other_tag", "copy_no"))
+    tag, key, other = (free_name(docs, n) for n in ("row_tag", "row_id", "other_tag"))
     tagged = docs.withColumn(tag, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
     def meet(left: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -197,6 +197,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return left.join(keys, F.col(id_col).eqNullSafe(F.col(key)) & (F.col(tag) == F.col(other)), how)
 
     stay = meet(tagged, gone, "left_anti")
-    repeated = Window.partitionBy(id_col, tag).orderBy(F.lit(1))
-    once = meet(stay, twice, "left_semi").withColumn(copy, F.row_number().over(repeated)).where(F.col(copy) == 1).drop(copy)
+    once = meet(stay, twice, "left_semi").dropDuplicates([id_col, tag])  # one a task before the exchange
     return meet(stay, twice, "left_anti").unionByName(once).select(docs.columns)

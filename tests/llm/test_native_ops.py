@@ -76,6 +76,17 @@ def test_exact_dedup_of_a_large_group(spark, limit, monkeypatch):
     assert all(r.kept and r.group_size == 1 for r in got if r.text != "same")
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_exact_dedup_keeps_one_of_rows_that_repeat(spark, limit):
+    rows = [(9, "t", i) for i in range(50)] + [(1, "t", -1)] + [(None, "n", i) for i in range(20)] + [(5, None, 0), (5, "", 0), (6, "alone", 0)]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, no int").repartition(7), broadcast_rows=limit)
+    got = found.collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter((i, t or "") for i, t, _ in rows)
+    assert Counter((r.doc_id, r.text or "") for r in got if r.kept) == {(9, "t"): 1, (None, "n"): 1, (5, ""): 1, (6, "alone"): 1}
+    assert {(r.text, r.group_size) for r in got} >= {("t", 51), ("n", 20), ("alone", 1)}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # no task gathers the rows of a key
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     """The contract's own words: stop at twice the size, share the excess again by weight until none is above."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)

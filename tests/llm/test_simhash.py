@@ -60,6 +60,13 @@ def test_simhash_awkward(spark):
     assert Counter(r.doc_id for r in kept) == Counter(low[v] for v in low if low[v] is not None and dict(rows)[low[v]] == v) + Counter(None for v in low if low[v] is None)
 
 
+def test_keep_one_of_rows_that_repeat(spark):
+    rows = [(4, "a b c d e f", i) for i in range(40)] + [(7, "a b c d e f", 0), (2, "other words stand here", 0)] + [(None, "none has an id", i) for i in range(30)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, no int").repartition(7))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(4, "a b c d e f"): 1, (2, "other words stand here"): 1, (None, "none has an id"): 1}
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_links_of_a_large_near_group(spark):
     """Many fingerprints around one, a chain, and strangers; small parts force the pairs of parts."""
     rng = random.Random(5)
