@@ -19,6 +19,8 @@ PROFILE = 300
 ORDER = 3
 #: Labelled rows of a language that its profile is fitted on, about: rows are drawn by a hash of their id.
 FIT_ROWS = 4_000
+#: Languages at most; more labels than this are an error, because every worker holds a profile of each.
+LANGS = 10_000
 #: Characters of a text that are counted at a time; whole texts are counted.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -116,7 +118,10 @@ def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     them a language come to the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = [(r[0], r[1]) for r in rows.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*"))).collect()]
+    rate = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*"))
+    share = [(r[0], r[1]) for r in rows.groupBy(lang_col).agg(rate).limit(LANGS + 1).collect()]
+    if len(share) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     if not share:
         return Profiles({})
     rates = F.create_map(*[F.lit(x) for r in share for x in r])
@@ -125,9 +130,10 @@ def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang in set(batch.column(0).to_pylist()):
-                texts = [t for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own == lang]
-                found = [ngram_counts(t) for t in texts]
+            by_lang: dict[str, list] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                by_lang.setdefault(lang, []).append(ngram_counts(text))
+            for lang, found in by_lang.items():
                 g, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
                 n = np.bincount(back, weights=np.concatenate([x[1] for x in found])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])

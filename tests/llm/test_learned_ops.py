@@ -81,6 +81,14 @@ def test_fit_sample_is_bounded(spark):
     assert len(lang_id.fit_profiles(many.limit(50), fit_rows=50).known) == 200
 
 
+def test_more_languages_than_allowed(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "LANGS", 2)
+    rows = [(i, "some words here", lang) for i, lang in enumerate("abc")]
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        lang_id.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+
 def test_url_parts_and_rules(spark):
     cases = {
         "http://A.Example.ORG/es/x?q#f": ("a.example.org", "/es/x", "example.org/es/", "block"),
