@@ -92,18 +92,30 @@ def cut(text: str) -> list[str]:
 
 
 class Chunks:
-    """Remembers a row number for every chunk seen; ``learn`` gets new chunks and must append a row for each."""
+    """Remembers a row number for every chunk seen; ``learn`` gets new chunks and must append a row for each.
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int | None = None) -> None:
-        self.learn, self.forget, self.most = learn, forget, most
+    Beyond ``most`` chunks the half that was used most stays: ``keep`` gets the row numbers that stay, in their new order.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], None], keep: Callable[[np.ndarray], None], most: int | None = None) -> None:
+        self.learn, self.keep, self.most = learn, keep, most
         self.first: dict[str, int] = {}
         self.later: dict[str, int] = {}
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _shrink(self, most: int) -> None:
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:most])
+        new = np.full(len(self.uses), -1, dtype=np.int64)
+        new[kept] = np.arange(len(kept))
+        at = new.tolist()
+        self.first, self.later = ({c: at[r] for c, r in known.items() if at[r] >= 0} for known in (self.first, self.later))
+        self.uses = self.uses[kept] // 2
+        self.keep(kept)
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers of all chunks of all texts, and where each text's begin, with the end last."""
-        if len(self.first) + len(self.later) > (self.most or MEMO):
-            self.first, self.later = {}, {}
-            self.forget()
+        if len(self.uses) > (most := self.most or MEMO):
+            self._shrink(most // 2)
         parts = [cut(t) for t in texts]
         known = self.later.get
         found = [[self.first.get(p[0]), *map(known, p[1:])] for p in parts]
@@ -111,14 +123,16 @@ class Chunks:
             heads = {parts[i][0] for i in gaps} - self.first.keys()
             tails = {p for i in gaps for p, r in zip(parts[i][1:], found[i][1:]) if r is None}
             new = [*heads, *(" " + p for p in tails)]
-            at = len(self.first) + len(self.later)
+            at = len(self.uses)
             self.learn(new)
+            self.uses = np.r_[self.uses, np.zeros(len(new), dtype=np.int64)]
             self.first.update(zip(heads, range(at, at + len(heads))))
             self.later.update(zip(tails, range(at + len(heads), at + len(new))))
             for i in gaps:
                 found[i] = [self.first[parts[i][0]], *map(self.later.__getitem__, parts[i][1:])]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         rows = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+        self.uses += np.bincount(rows, minlength=len(self.uses))
         return rows, np.r_[0, np.cumsum(sizes)]
 
 
@@ -139,41 +153,53 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, order = ranks, sorted(ranks.items(), key=lambda x: x[1])
-        self.id_of_piece = [r for _, r in order]
+        self.id_of_piece = np.array([r for _, r in order], dtype=np.int32)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
         # White space is the Unicode property, as in the library whose ids these are.
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.chunks = Chunks(self._learn, self._forget)
-        self._forget()
-        self.token_size = np.full(max(self.id_of_piece) + 1, -1, dtype=np.int64)
+        self.chunks = Chunks(self._learn, self._keep)
+        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
+        self.token_size = np.full(self.id_of_piece.max() + 1, -1, dtype=np.int64)
         decoded = [_bytes_of(p) for p in self.model.id_to_piece(list(range(len(order))))]
         self.token_size[self.id_of_piece] = list(map(len, decoded))
         self.token_start = np.cumsum(np.maximum(self.token_size, 0)) - np.maximum(self.token_size, 0)
         self.token_bytes = np.frombuffer(b"".join(decoded), dtype=np.uint8)
 
-    def _forget(self) -> None:
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
+    def _views(self) -> list[np.ndarray]:
+        return [np.frombuffer(a, dtype=t) if len(a) else np.zeros(0, t) for a, t in ((self.starts, np.int64), (self.sizes, np.int64), (self.flat, np.int32))]
+
+    def _keep(self, rows: np.ndarray) -> None:
+        starts, sizes, flat = self._views()
+        ids, upto = gather(rows, starts, sizes, flat)
+        self.starts, self.sizes, self.flat = array("q", upto[:-1].tobytes()), array("q", sizes[rows].tobytes()), array("i", ids.tobytes())
 
     def _learn(self, new: list[str]) -> None:
-        # A space and letters need no pattern.
-        tokens = [[c] if c[1:].isalpha() and c[0] == " " else self.find(c) for c in new]
-        tokens = [[p.encode("utf-8", "surrogatepass") for p in ps] for ps in tokens]
-        unknown = list({p for ps in tokens for p in ps} - self.ranks.keys())
-        coded = self.model.encode([_mapped(p) for p in unknown], num_threads=1) if unknown else []
-        ids_of = {p: [self.id_of_piece[i] for i in ids] for p, ids in zip(unknown, coded)}
-        for ps in tokens:
-            self.starts.append(len(self.flat))
-            for p in ps:
-                if p in self.ranks:
-                    self.flat.append(self.ranks[p])
-                else:
-                    self.flat.extend(ids_of[p])
-            self.sizes.append(len(self.flat) - self.starts[-1])
+        parts: list[str] = []
+        counts = np.empty(len(new) + 1, dtype=np.int64)
+        counts[0] = 0
+        for i, c in enumerate(new, 1):
+            if c[1:].isalpha() and c[0] == " ":  # needs no pattern
+                parts.append(c)
+            else:
+                parts += self.find(c)
+            counts[i] = len(parts)
+        data = [p.encode("utf-8", "surrogatepass") for p in parts]
+        rank = self.ranks.get
+        ids = np.fromiter([rank(d, -1) for d in data], dtype=np.int32, count=len(data))
+        merged = np.flatnonzero(ids < 0)
+        coded = self.model.encode([_mapped(data[i]) for i in merged.tolist()], num_threads=1) if len(merged) else []
+        sizes = np.ones(len(data), dtype=np.int64)
+        sizes[merged] = np.fromiter(map(len, coded), dtype=np.int64, count=len(merged))
+        flat, whole = np.repeat(ids, sizes), np.repeat(ids >= 0, sizes)
+        flat[~whole] = self.id_of_piece[np.fromiter(chain.from_iterable(coded), dtype=np.int64, count=int((~whole).sum()))]
+        upto = np.r_[0, np.cumsum(sizes)][counts]
+        self.starts.frombytes((upto[:-1] + len(self.flat)).tobytes())
+        self.sizes.frombytes(np.diff(upto).tobytes())
+        self.flat.frombytes(flat.tobytes())
 
     def encode_all(self, texts: list[str]) -> pa.ListArray:
         rows, begin = self.chunks.rows(texts)
-        views = [np.frombuffer(a, dtype=t) if len(a) else np.zeros(0, t) for a, t in ((self.starts, np.int64), (self.sizes, np.int64), (self.flat, np.int32))]
-        ids, upto = gather(rows, *views)
+        ids, upto = gather(rows, *self._views())
         return pa.ListArray.from_arrays(pa.array(upto[begin], pa.int32()), pa.array(ids, pa.int32()))
 
     def decode_all(self, ids: pa.ListArray) -> pa.BinaryArray:

@@ -33,8 +33,8 @@ class Counter:
 
     def __init__(self, data: bytes, kind: str) -> None:
         self.by_chunk = False
-        self.chunks = Chunks(lambda new: self.known.extend(self.count(new)), self._forget, MEMO)
-        self._forget()
+        self.chunks = Chunks(lambda new: self.known.extend(self.count(new)), self._keep, MEMO)
+        self.known = array("q")
         if kind == ".model":
             model = sentencepiece.SentencePieceProcessor(model_proto=data)
             self.count = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
@@ -51,8 +51,8 @@ class Counter:
         else:
             raise ValueError(f"no library for {kind} files")
 
-    def _forget(self) -> None:
-        self.known = array("q")
+    def _keep(self, rows: np.ndarray) -> None:
+        self.known = array("q", np.frombuffer(self.known, dtype=np.int64)[rows].tobytes())
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if not self.by_chunk:

@@ -31,7 +31,7 @@ def test_encoding_matches_the_library(reference, monkeypatch):
         got = codec.encode_all(ODD)
         assert got.to_pylist() == [reference.encode_ordinary(t) for t in ODD]
         assert codec.decode_all(got).to_pylist() == [t.encode() for t in ODD]
-        monkeypatch.setattr(bpe, "MEMO", 3)  # everything is forgotten and learned again
+        monkeypatch.setattr(bpe, "MEMO", 3)  # nearly everything is forgotten and learned again
     import pyarrow as pa
 
     assert codec.decode_all(pa.array([[1], None, []], pa.list_(pa.int32()))).to_pylist() == [codec_token(1), None, b""]
@@ -40,6 +40,20 @@ def test_encoding_matches_the_library(reference, monkeypatch):
             codec.decode_all(pa.array([[bad]], pa.list_(pa.int32())))
 
 
+def test_chunks_keep_what_is_used_most(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    codec, learned = bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN), []
+    learn = codec.chunks.learn
+    codec.chunks.learn = lambda new: (learned.extend(new), learn(new))
+    for no in range(30):
+        texts = [f"the often seen words {no} and rare{no}word, {no}-th 'é{no}ü' of", "the often\n\nseen  words ", ""]
+        got = codec.encode_all(texts)
+        assert got.to_pylist() == [reference.encode_ordinary(t) for t in texts]
+        assert codec.decode_all(got).to_pylist() == [t.encode() for t in texts]
+    assert learned.count(" often") == 1 and len(learned) > 100
+    assert len(codec.chunks.first) + len(codec.chunks.later) == len(codec.chunks.uses) == len(codec.sizes) <= 50
+
+
 def codec_token(rank):
     return {r: t for t, r in bpe.read_ranks(RANKS).items()}[rank]
 
