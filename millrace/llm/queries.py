@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_format, exact_dedup, lang_id, mixing, neighbours, simhash, substring_dedup, token_counts, url_filter
+from millrace.llm import (
+    alignment,
+    bpe,
+    chat_format,
+    exact_dedup,
+    html_extract,
+    lang_id,
+    mixing,
+    neighbours,
+    prefix_trie,
+    simhash,
+    substring_dedup,
+    token_counts,
+    url_filter,
+)
 from millrace.llm.shared import materialize
 
 
@@ -83,6 +97,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", lang_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def rebuilt_conversations(own: DataFrame) -> DataFrame:
+    """From (conv_id, turns) to the conversations that op11 is about: of conversation c the first h turns are those of
+    c - c % 20, h being crc32 of c modulo 4; its own follow after its first h."""
+    c, kind = F.col("conv_id"), own.schema["turns"].dataType
+    heads = own.where(c % 20 == 0).select(c.alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(c.cast("string")) % 4).cast("int")
+    head = F.slice(F.coalesce("head", F.array().cast(kind)), F.lit(1), h)
+    met = own.join(heads, c - c % 20 == F.col("base"), "left")
+    return met.select("conv_id", F.concat(head, F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = materialize(prefix_trie.turn_digests(_table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefix_trie.sequence_trie(rebuilt_conversations(own))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    told = F.when(F.col("n_a") > 0, F.sha2(alignment.told_groups(F.col("groups")), 256)).otherwise("")
+    aligned = aligned.select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), told.alias("groups_sha256"), "links")
+    return alignment.score_links(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -97,6 +140,9 @@ def queries() -> dict:
             op8_mix_sources,
             op9_token_counts,
             op10_language_id,
+            op11_prefix_trie,
+            op12_align_tokenizers,
+            op13_html_extract,
         )
     }
 
@@ -135,5 +181,30 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+#: crc32 bit by bit: a byte is mixed in, then -1 stands for a step of one bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+ lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+_OP11_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+ own AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, r, t) AS turns FROM t GROUP BY conv_id),
+ h AS (SELECT conv_id, turns, CAST({_CRC} % 4 AS INTEGER) AS h FROM own),
+ s AS (SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+ d AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM s),
+ m AS (SELECT conv_id, depth, turns[1:depth] AS prefix, len(turns) = depth AS ends FROM d),
+ n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY depth, prefix),
+ k AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+ f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, len(regexp_extract_all(coalesce(n.prefix[n.depth].t, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM n LEFT JOIN k ON n.depth = k.depth AND n.prefix = k.prefix),
+ u AS (SELECT *, unnest(range(0, depth + 1)) AS up FROM f),
+ g AS (SELECT up AS depth, prefix[1:up] AS prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM u GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(g.n_leaves AS BIGINT) AS n_leaves,
+ CAST(g.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+ FROM f JOIN g ON f.depth = g.depth AND f.prefix = g.prefix LEFT JOIN n p ON p.depth = f.depth - 1 AND p.prefix = f.prefix[1:f.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1_SQL, "op6_chat_format": _op6_sql()}
+    return {"op1_exact_dedup": _OP1_SQL, "op6_chat_format": _op6_sql(), "op11_prefix_trie": _OP11_SQL}
