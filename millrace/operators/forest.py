@@ -18,9 +18,14 @@ def with_features(df: DataFrame, vector: str, positions: Sequence[int] | None =
     return df.withColumn(out, array_to_vector(values))
 
 
-def fit_forest(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42) -> RandomForestClassificationModel:
-    """Trees of one level grow together, from histograms that the tasks sum; depth bounds the size of the model."""
-    return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(df)
+def fit_forest(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42, memory_mb: int = 1024) -> RandomForestClassificationModel:
+    """Trees of one level grow together, from histograms that the tasks sum; depth bounds the size of the model.
+
+    ``memory_mb`` bounds the histograms of one pass, so more of it means fewer passes over the rows. Tasks remember the
+    node that each row has reached in each tree instead of walking down from the root again.
+    """
+    learner = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    return learner.setMaxMemoryInMB(memory_mb).setCacheNodeIds(True).fit(df)
 
 
 def importance(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.keyed import free_name
 
 #: Buckets of a histogram; rows that an exact split ranks at a time, if their ids differ.
 BUCKETS, RANKED = 4096, 10_000
@@ -130,10 +130,11 @@ def exact_split(df: DataFrame, row_id: str, fraction: float, seed: str = "") ->
     """
     whole = F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)])
     digest = F.md5(F.concat(F.coalesce(F.col(row_id).cast("string"), F.concat(F.lit("row "), whole.cast("string"))), F.lit(seed)))
-    keyed = df.withColumns({"__d": digest, "__h": whole})
+    d, h = free_name(df, "digest"), free_name(df, "whole")
+    keyed = df.withColumns({d: digest, h: whole})
     want, edge, size = 0, "", 0
     for digits in range(3, 33, 3):
-        sizes = keyed.where(F.col("__d").startswith(edge)).groupBy(F.substring("__d", 1, digits).alias("b")).count().collect()
+        sizes = keyed.where(F.col(d).startswith(edge)).groupBy(F.substring(d, 1, digits).alias("b")).count().collect()
         if not edge:
             want = math.ceil(fraction * sum(r["count"] for r in sizes) - 1e-9)
         for edge, size in sorted((r["b"], r["count"]) for r in sizes):
@@ -142,10 +143,10 @@ def exact_split(df: DataFrame, row_id: str, fraction: float, seed: str = "") ->
             want -= size
         if size <= RANKED:
             break
-    start = F.substring("__d", 1, len(edge))
-    inside = keyed.where(start == edge).withColumn("is_test", F.row_number().over(Window.orderBy("__d", "__h")) <= want)
+    start = F.substring(d, 1, len(edge))
+    inside = keyed.where(start == edge).withColumn("is_test", F.row_number().over(Window.orderBy(d, h)) <= want)
     rest = keyed.where(start != edge).withColumn("is_test", start < edge)
-    return rest.unionByName(inside).drop("__d", "__h")
+    return rest.unionByName(inside).drop(d, h)
 
 
 def standard_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -162,7 +163,3 @@ def standardize_group(df: DataFrame, group: Sequence[str], value: str) -> DataFr
     own = Window.partitionBy(*group)
     spread = F.coalesce(F.nullif(F.stddev_pop(value).over(own), F.lit(0.0)), F.lit(1.0))
     return df.withColumn(value, (F.col(value) - F.avg(value).over(own)) / spread)
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

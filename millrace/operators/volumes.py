@@ -1,20 +1,25 @@
-"""Image volumes in long form (x, y, z, t, value), masked to voxels and scattered back."""
+"""Image volumes: in long form (x, y, z, t, value) and, for work along time, a series a voxel; smoothed, masked and scattered back.
+
+``keys`` names the columns that tell images apart, such as the path of a file.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from millrace.operators.statistics import standardize_group
+from pyspark.sql import types as T
 
 PLACE = ("x", "y", "z")
+SERIES = "series"
 
 
-def mean_image(volume: DataFrame) -> DataFrame:
-    return volume.groupBy(*PLACE).agg(F.avg("value").alias("mean_value"))
+def mean_image(volume: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return volume.groupBy(*keys, *PLACE).agg(F.avg("value").alias("mean_value"))
 
 
 def gaussian_weights(fwhm: float, voxel: float = 1.0) -> list[tuple[int, float]]:
@@ -25,35 +30,208 @@ def gaussian_weights(fwhm: float, voxel: float = 1.0) -> list[tuple[int, float]]
     return [(d, w / sum(axis.values())) for d, w in axis.items()]
 
 
-def smooth(volume: DataFrame, fwhm: float, voxel: float = 1.0) -> DataFrame:
-    """Gaussian smoothing, one axis after the other; beyond the edge, and where a voxel is absent, is 0.
+def _sizes(voxel: float | Sequence[float]) -> tuple[float, float, float]:
+    return (float(voxel),) * 3 if isinstance(voxel, int | float) else tuple(map(float, voxel))
+
+
+# --- the two forms ----------------------------------------------------------------------------------------------------
 
-    Along an axis every value is handed to its neighbours and weighted sums meet there, combined before the shuffle.
+
+def to_series(volume: DataFrame, keys: Sequence[str] = (), steps: int | None = None) -> DataFrame:
+    """(keys, x, y, z, series array<double>): the values of a voxel over time, all of one length.
+
+    The length is ``steps``, or the largest time step of the table plus one. A step without a row is null in the
+    series; a row whose value is null or not finite counts as 0; of rows that repeat a place and step the largest value
+    counts. Steps below 0, null or beyond the length are left out. One shuffle by place.
     """
-    weights = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in gaussian_weights(fwhm, voxel)])
-    spread = volume.select(*PLACE, "t", "value")
-    for axis in PLACE:
-        moved = spread.withColumn("o", F.explode(weights)).withColumns({axis: F.col(axis) + F.col("o.d"), "value": F.col("value") * F.col("o.w")})
-        spread = moved.groupBy(*PLACE, "t").agg(F.sum("value").alias("value"))
-    kinds = {f.name: f.dataType for f in volume.schema.fields}
-    spread = spread.withColumns({p: F.col(p).cast(kinds[p]) for p in PLACE})
-    return volume.select(*PLACE, "t").join(spread, [*PLACE, "t"]).select(*PLACE, "t", "value")
+    steps = int(steps if steps is not None else (volume.agg(F.max("t")).first()[0] or 0) + 1)
+    own = F.col("value").cast("double")
+    finite = F.when(own.isNull() | F.isnan(own) | (F.abs(own) == float("inf")), 0.0).otherwise(own)
+    rows = volume.where(F.col("t").between(0, steps - 1)).select(*keys, *PLACE, F.col("t").cast("int").alias("t"), finite.alias("value"))
+    listed = rows.groupBy(*keys, *PLACE).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias(SERIES))
+    fields = [*listed.schema.fields[:-1], T.StructField(SERIES, T.ArrayType(T.DoubleType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            flat, row = column.flatten(), np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
+            at = row * steps + np.asarray(flat.field("t"))
+            values, known = np.zeros(len(column) * steps), np.zeros(len(column) * steps, dtype=bool)
+            values[at], known[at] = np.asarray(flat.field("value")), True  # rows of a step go by value, so the largest is last
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(values, known, steps)], names=batch.schema.names)
+
+    return listed.mapInArrow(run, T.StructType(fields))
+
+
+def from_series(series: DataFrame, keys: Sequence[str] = (), name: str = "t") -> DataFrame:
+    """The long form again, a row for each step that is not null."""
+    rows = series.select(*keys, *PLACE, F.posexplode(SERIES).alias(name, "value"))
+    return rows.where(F.col("value").isNotNull())
+
+
+def filled(series: DataFrame, fill: float = 0.0) -> DataFrame:
+    """Missing steps as a number, so that series are rows of a matrix."""
+    return series.withColumn(SERIES, F.transform(SERIES, lambda v: F.coalesce(v, F.lit(float(fill)))))
+
+
+def _lists(values: np.ndarray, known: np.ndarray, size: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // max(size, 1) + 1) * size, pa.int32()), pa.array(values, mask=~known))
 
 
-def masked(volume: DataFrame, mask: DataFrame) -> DataFrame:
-    """The values of the mask's voxels."""
-    return volume.join(mask.select(*PLACE), list(PLACE), "left_semi")
+def _matrix(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of one length as rows of a matrix with 0 for null, and where they are not null."""
+    flat = column.flatten()
+    known = ~np.asarray(flat.is_null())
+    return np.asarray(flat.fill_null(0.0)).reshape(-1, size), known.reshape(-1, size)
 
 
-def mask_transform(volume: DataFrame, mask: DataFrame, fwhm: float, voxel: float = 1.0) -> DataFrame:
-    """Smooths, keeps the mask's voxels and standardizes each over time."""
-    return standardize_group(masked(smooth(volume, fwhm, voxel), mask), PLACE, "value")
+def _by_row(series: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Replaces all series by a function of their matrix; what is null stays null. No shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(SERIES)
+            column, columns = batch.column(at), list(batch.columns)
+            if len(column):
+                size = len(column.flatten()) // len(column)
+                values, known = _matrix(column, size)
+                columns[at] = _lists(change(values, known).ravel(), known.ravel(), size) if size else column
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-def inverse_mask(values: DataFrame, space: DataFrame, others: Sequence[str] = ("component",)) -> DataFrame:
+    return series.mapInArrow(run, series.schema)
+
+
+# --- smoothing, masks, standard scores --------------------------------------------------------------------------------
+
+
+def smooth_series(series: DataFrame, fwhm: float, voxel: float | Sequence[float] | str = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Gaussian smoothing in space with the whole kernel, one axis after the other; beyond the edge, and where a voxel is absent, is 0.
+
+    ``voxel`` is the length of a voxel's edges: one number, three, or the name of a column array<double> with the three
+    of the row's image; so an axis has a kernel of its own. Along an axis the series of a line of voxels are gathered
+    and the matrix of weights between their places is applied to them: three shuffles, each of the data once. Places
+    inside an image's box that have no voxel take part on the way, since what is spread to them is spread on from there.
+    Missing steps count as 0 and are missing again in the result, which has the voxels that came in.
+    """
+    by_image = isinstance(voxel, str)
+    fixed = (1.0,) * 3 if by_image else _sizes(voxel)
+    held = [voxel] if by_image else []
+    kinds = {f.name: f.dataType for f in series.schema.fields}
+    gaps, ends = F.exists(SERIES, lambda v: v.isNull()), [F.array(F.min(p), F.max(p)).cast("array<long>") for p in PLACE]
+    known = F.when(gaps, F.transform(SERIES, lambda v: v.isNotNull())).otherwise(F.array().cast("array<boolean>"))
+    out = filled(series.select(*keys, *[F.col(p).cast("long").alias(p) for p in PLACE], SERIES, known.alias("known"), *held))
+    if keys:
+        out = out.join(series.groupBy(*keys).agg(F.array(*ends).alias("box")), list(keys))
+    else:
+        box = series.agg(*ends).first()
+        out = out.withColumn("box", F.array(*[F.array(*[F.lit(n).cast("long") for n in own or (0, -1)]) for own in box]))
+    for axis, place in enumerate(PLACE):
+        others = [*keys, *(p for p in PLACE if p != place)]
+        lines = out.groupBy(*others).agg(F.collect_list(F.struct(place, SERIES, "known")).alias("line"), *[F.first(c).alias(c) for c in ("box", *held)])
+        schema = T.StructType([out.schema[c] for c in (*others, "box", *held, place, SERIES, "known")])
+        out = lines.select(*others, "box", *held, "line").mapInArrow(_along(place, axis, fwhm, fixed[axis], voxel if by_image else None), schema)
+    out = out.where("known is not null")
+    missing = F.when(F.size("known") > 0, F.zip_with(SERIES, "known", lambda v, k: F.when(k, v))).otherwise(F.col(SERIES))
+    return out.select(*keys, *[F.col(p).cast(kinds[p]).alias(p) for p in PLACE], missing.alias(SERIES), *held)
+
+
+def _along(place: str, axis: int, fwhm: float, edge: float, voxel: str | None) -> Callable:
+    """Smooths lines (others, box, line of (place, series, known)) to rows (others, place, series, known), a row for each place of the box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernels: dict[tuple, np.ndarray] = {}
+
+        def kernel(length: int, edge: float) -> np.ndarray:
+            if (length, edge) not in kernels:
+                weights = dict(gaussian_weights(fwhm, edge))
+                kernels[length, edge] = np.array([[weights.get(i - j, 0.0) for j in range(length)] for i in range(length)])
+            return kernels[length, edge]
+
+        for batch in batches:
+            line, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
+            if not len(line):
+                continue
+            ends, flat = np.asarray(line.offsets), line.flatten()
+            ends, at, column = ends - ends[0], np.asarray(flat.field(place)), flat.field(SERIES)
+            size = len(column.flatten()) // max(len(column), 1)
+            values, _ = _matrix(column, size)
+            low, high = (np.array([b[axis][k] for b in batch.column(batch.schema.get_field_index("box")).to_pylist()], dtype=np.int64) for k in (0, 1))
+            edges = [e[axis] for e in batch.column(batch.schema.get_field_index(voxel)).to_pylist()] if voxel else [edge] * len(line)
+            smoothed, source = [], []
+            for no, (a, b) in enumerate(zip(ends, ends[1:])):
+                length = int(high[no] - low[no]) + 1
+                dense, of = np.zeros((length, size)), np.full(length, -1)
+                dense[at[a:b] - low[no]], of[at[a:b] - low[no]] = values[a:b], np.arange(a, b)
+                smoothed.append(kernel(length, edges[no]) @ dense)
+                source.append(of)
+            row = np.repeat(np.arange(len(line)), high - low + 1)
+            source = np.concatenate(source)
+            places = np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)])
+            result = np.concatenate(smoothed).ravel()
+            known = flat.field("known").take(pa.array(source, mask=source < 0))
+            made = [pa.array(places), _lists(result, np.ones(len(result), dtype=bool), size), known]
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in rest), *made], names=[*batch.schema.names[:-1], place, SERIES, "known"])
+
+    return run
+
+
+def smooth(volume: DataFrame, fwhm: float, voxel: float | Sequence[float] = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Smoothing of a volume in long form; see ``smooth_series``. A row comes back for each place and step."""
+    return _as(volume, from_series(smooth_series(to_series(volume, keys), fwhm, voxel, keys), keys))
+
+
+def _as(volume: DataFrame, rows: DataFrame) -> DataFrame:
+    """The time step in the type that the volume has it in."""
+    return rows.withColumn("t", F.col("t").cast(volume.schema["t"].dataType))
+
+
+def masked(volume: DataFrame, mask: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The values, or series, of the mask's voxels."""
+    return volume.join(mask.select(*keys, *PLACE), [*keys, *PLACE], "left_semi")
+
+
+def standardize_series(series: DataFrame) -> DataFrame:
+    """Every series less its mean, divided by its population deviation; one that does not vary becomes 0. Missing steps do not count."""
+
+    def change(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+        n = np.maximum(known.sum(axis=1, keepdims=True), 1)
+        centred = np.where(known, values - values.sum(axis=1, keepdims=True) / n, 0.0)
+        spread = np.sqrt((centred**2).sum(axis=1, keepdims=True) / n)
+        flat = spread <= 1e-12 * np.maximum(1.0, np.abs(values).max(axis=1, initial=0.0, keepdims=True))
+        return np.where(flat, 0.0, centred / np.where(flat, 1.0, spread))
+
+    return _by_row(series, change)
+
+
+def mask_series(volume: DataFrame, mask: DataFrame, fwhm: float, voxel: float | Sequence[float] | str = 1.0, keys: Sequence[str] = (), steps: int | None = None) -> DataFrame:
+    """The matrix of a masked image: smoothed and standardized series of the mask's voxels, (keys, x, y, z, series).
+
+    Smoothing reads the whole image, as the voxels around the mask weigh in. With ``voxel`` the name of a column, the volume has that column.
+    """
+    held = {voxel: F.first(voxel)} if isinstance(voxel, str) else {}
+    series = to_series(volume, keys, steps)
+    if held:
+        series = series.join(volume.groupBy(*keys).agg(*[f.alias(n) for n, f in held.items()]), list(keys))
+    return standardize_series(masked(smooth_series(series, fwhm, voxel, keys), mask, keys)).drop(*held)
+
+
+def mask_transform(volume: DataFrame, mask: DataFrame, fwhm: float, voxel: float | Sequence[float] = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """Smooths, keeps the mask's voxels and standardizes each over time, in long form."""
+    return _as(volume, from_series(mask_series(volume, mask, fwhm, voxel, keys), keys))
+
+
+def inverse_mask(values: DataFrame, space: DataFrame, others: Sequence[str] = ("component",), keys: Sequence[str] = ()) -> DataFrame:
     """Scatters masked values to every voxel of ``space``, which has a row for each place and each of ``others``; 0 outside."""
-    keys = [*PLACE, *others]
-    return space.select(*keys).join(values.select(*keys, "value"), keys, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    every = [*keys, *PLACE, *others]
+    return space.select(*every).join(values.select(*every, "value"), every, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def inverse_series(series: DataFrame, space: DataFrame, keys: Sequence[str] = (), name: str = "component") -> DataFrame:
+    """Scatters vectors of the mask's voxels to every place of ``space``, as rows (keys, x, y, z, name, value); 0 outside the mask."""
+    size = series.agg(F.max(F.size(SERIES))).first()[0] or 0
+    places = space.select(*keys, *PLACE).distinct().join(series.select(*keys, *PLACE, SERIES), [*keys, *PLACE], "left")
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return places.select(*keys, *PLACE, F.posexplode(F.coalesce(SERIES, zeros)).alias(name, "value"))
 
 
 def component_image(volume: DataFrame, component: int) -> DataFrame:
