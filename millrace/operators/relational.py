@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import is_email
+from millrace.operators.keyed import free_name
+from millrace.sources.workspace import materialize
+
 
 class LookupFailed(LookupError):
     """A lookup by a unique key found no row, or more than one."""
@@ -61,9 +66,10 @@ def profile_with_user(profiles: DataFrame, users: DataFrame, profile_key: str, u
     Key join, inner: the key is required and unique on the user's side. The optimizer broadcasts the users if they
     are within its threshold.
     """
-    owner = users.select(F.col(user_key).alias("__owner"), F.col(email).alias("user"))
     own = profiles.drop("user", "email")
-    return own.join(owner, F.col(profile_key) == F.col("__owner")).drop("__owner").withColumn("email", F.col("user"))
+    name = free_name(own, "owner")
+    owner = users.select(F.col(user_key).alias(name), F.col(email).alias("user"))
+    return own.join(owner, F.col(profile_key) == F.col(name)).drop(name).withColumn("email", F.col("user"))
 
 
 def own_profile(users: DataFrame, profiles: DataFrame, user_key: str, profile_key: str) -> DataFrame:
@@ -94,12 +100,14 @@ def duplicated(df: DataFrame, key: str) -> DataFrame:
 
 
 def uniqueness(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Adds ``unique``: no other new row and no existing row has the key."""
-    times = new.groupBy(key).agg(F.count("*").alias("__times"))
-    there = existing.select(key).distinct().withColumn("__there", F.lit(True))
-    counted = new.join(times, key, "left").join(there, key, "left")
-    fine = F.col(key).isNull() | ((F.col("__times") == 1) & F.col("__there").isNull())
-    return counted.withColumn("unique", fine).drop("__times", "__there")
+    """Adds ``unique``: no other new row and no existing row has the key. Rows without a key are unique, and meet no join."""
+    times, there = free_name(new, "times"), free_name(new, "there")
+    known = new.where(F.col(key).isNotNull())
+    counted = known.groupBy(key).agg(F.count("*").alias(times))
+    held = existing.where(F.col(key).isNotNull()).select(key).distinct().withColumn(there, F.lit(True))
+    met = known.join(counted, key).join(held, key, "left").withColumn("unique", (F.col(times) == 1) & F.col(there).isNull())
+    out = [*[c for c in new.columns if c != "unique"], "unique"]
+    return met.select(out).unionByName(new.where(F.col(key).isNull()).withColumn("unique", F.lit(True)).select(out))
 
 
 def validate(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -119,7 +127,7 @@ def profile_checks(language: Column, lengths: Mapping[str, tuple[Column, int]],
     for name, (column, most) in lengths.items():
         checks[f"{name} is longer than {most} characters"] = column.isNull() | (F.length(column) <= most)
     if email is not None:
-        checks["Enter a valid email address."] = email.rlike(r"^[^@\s]+@[^@\s.]+(\.[^@\s.]+)+$")
+        checks["Enter a valid email address."] = is_email(email)
     return checks
 
 
@@ -128,20 +136,75 @@ def append_rows(df: DataFrame, new: DataFrame, **server_set) -> DataFrame:
     return df.unionByName(new.withColumns({k: F.lit(v).cast(df.schema[k].dataType) for k, v in server_set.items()}).select(df.columns))
 
 
+def last_by_key(changes: DataFrame, key: str) -> DataFrame:
+    """One row a key: of rows that repeat a key that of the largest values, column by column from the first."""
+    others = [c for c in changes.columns if c != key]
+    if not others:
+        return changes.distinct()
+    last = free_name(changes, "last")
+    found = changes.groupBy(key).agg(F.max(F.struct(*others)).alias(last))
+    return found.select(*[F.col(key) if c == key else F.col(f"{last}.{c}").alias(c) for c in changes.columns])
+
+
 def update_by_key(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Full update: a row whose key is in ``changes`` takes its values of the columns that ``changes`` has, nulls too.
 
-    Of changes that repeat a key the one of the largest values counts, column by column from the first; null keys match nothing.
+    Of changes that repeat a key the one of the largest values counts (``last_by_key``). Null keys match nothing, and
+    rows that have one do not take part in the join.
     """
-    others = [c for c in changes.columns if c != key]
-    if others:
-        changes = changes.groupBy(key).agg(F.max(F.struct(*others)).alias("__last")).select(key, *[F.col(f"__last.{c}").alias(c) for c in others])
+    hit = free_name(df, "hit", changes.columns)
+    names = {c: free_name(df, f"new_{c}", [hit]) for c in changes.columns}
+    named = last_by_key(changes.where(F.col(key).isNotNull()), key).select([F.col(c).alias(n) for c, n in names.items()]).withColumn(hit, F.lit(True))
+    joined = df.where(F.col(key).isNotNull()).join(named, F.col(key) == F.col(names[key]), "left")
+    value = lambda c: F.when(F.col(hit), F.col(names[c])).otherwise(F.col(c)).alias(c) if c in names and c != key else F.col(c)
+    return joined.select([value(c) for c in df.columns]).unionByName(df.where(F.col(key).isNull()))
+
+
+def cascade_delete(
+    tables: Mapping[str, DataFrame], references: Sequence[tuple[str, str, str, str]], gone: Mapping[str, DataFrame], rounds: int = 100
+) -> dict[str, DataFrame]:
+    """Every table without the rows that a delete takes along.
+
+    ``references`` are (child, column, parent, parent's key): a child whose column holds the key of a deleted parent is deleted
+    too, and so on to the last. ``gone`` has, by table, a frame of its keys that are deleted, in a column of the key's name.
+    The keys of deleted rows are found table by table from the parents down, with semi joins, and written in the shared folder; a
+    table that is reached again, by another way or around a cycle, goes on with the new keys alone, until there are
+    none. Survivors are what is left by an anti join. Null references belong to nobody; repeated keys go together.
+    """
+    keys = {parent: key for _, _, parent, key in references}
+    dead: dict[str, DataFrame] = {}
+    new = {t: materialize(k.select(keys.get(t, k.columns[0])).distinct(), "cascade") for t, k in gone.items()}
+    columns = {t: k.columns[0] for t, k in new.items()}
+    extra: dict[str, list[tuple[str, DataFrame]]] = {t: [] for t in tables}
+    for _ in range(rounds):
+        new = {t: k for t, k in new.items() if not k.isEmpty()}
+        if not new:
+            break
+        for t, k in new.items():
+            dead[t] = k if t not in dead else materialize(dead[t].unionByName(k), "cascade")
+        found: dict[str, DataFrame] = {}
+        for child, column, parent, key in references:
+            if parent not in new:
+                continue
+            of = new[parent].select(F.col(key).alias(column))
+            extra[child].append((column, of))
+            if child in keys:
+                hit = tables[child].join(of, column, "left_semi").select(keys[child])
+                found[child] = hit if child not in found else found[child].unionByName(hit)
+        new = {}
+        for child, hit in found.items():
+            hit = hit.where(F.col(keys[child]).isNotNull()).distinct()
+            new[child] = materialize(hit.join(dead[child], keys[child], "left_anti") if child in dead else hit, "cascade")
     else:
-        changes = changes.distinct()
-    named = changes.select([F.col(c).alias(f"__new_{c}") for c in changes.columns]).withColumn("__hit", F.lit(True))
-    joined = df.join(named, F.col(key) == F.col(f"__new_{key}"), "left")
-    value = lambda c: F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns else F.col(c)
-    return joined.select([value(c) for c in df.columns])
+        raise RuntimeError(f"the cascade did not end in {rounds} rounds")
+    out = {}
+    for t, rows in tables.items():
+        if t in dead:
+            rows = rows.join(dead[t], keys.get(t, columns.get(t)), "left_anti")
+        for column, of in extra[t]:
+            rows = rows.join(of, column, "left_anti")
+        out[t] = rows.select(tables[t].columns)
+    return out
 
 
 def soft_delete(df: DataFrame, gone: Column, as_of: Column, column: str = "deleted_at") -> DataFrame:
@@ -201,4 +264,9 @@ def top_k(df: DataFrame, by: str, tie: str, k: int) -> DataFrame:
 def best_in_group(df: DataFrame, group: str, by: Column, tie: str) -> DataFrame:
     """The row of the largest value in each group, ties to the smallest ``tie``."""
     order = Window.partitionBy(group).orderBy(by.desc(), F.asc(tie))
-    return df.withColumn("__at", F.row_number().over(order)).where("__at = 1").drop("__at")
+    at = free_name(df, "at")
+    return df.withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
+
+
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

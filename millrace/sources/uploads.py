@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: First bytes, in hexadecimal, of the file types that are accepted.
-MAGIC = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A"}
+from millrace.operators.keyed import free_name
+from millrace.sources import images
+
 STATIC = "static/"
 STORED, FAILED = "Image uploaded successfully", "Image upload failed"
 
@@ -22,21 +23,22 @@ def scan_images(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.col("modificationTime").alias("modified"))
 
 
-def is_image(content: Column) -> Column:
-    """Whether the first bytes are those of an accepted type; null content is not."""
-    start = F.hex(F.substring(content, 1, 8))
-    return F.coalesce(F.greatest(*[start.startswith(m) for m in MAGIC.values()]), F.lit(False))
+def checked(uploads: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Adds ``image``: format, size and, if it is no whole image or its name is not that of one, the problem."""
+    return images.decoded(uploads, "content", "name", max_bytes=max_bytes)
 
 
 def split_uploads(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected)."""
-    return uploads.where(is_image(F.col("content"))), uploads.where(~is_image(F.col("content")))
+    """(valid, rejected); the rejected ones with their ``problem``."""
+    found, name = checked(uploads), free_name(uploads, "problem")
+    valid = found.where(F.col("image.problem").isNull()).select(uploads.columns)
+    return valid, found.withColumn(name, F.col("image.problem")).where(F.col(name).isNotNull()).select(*uploads.columns, name)
 
 
 def response(uploads: DataFrame) -> DataFrame:
     """(name, detail, imageUrl, status) of every upload."""
-    ok = is_image(F.col("content"))
-    return uploads.select(
+    ok = F.col("image.problem").isNull()
+    return checked(uploads.select("name", "content")).select(
         "name",
         F.when(ok, STORED).otherwise(FAILED).alias("detail"),
         F.when(ok, F.concat(F.lit(STATIC), F.col("name"))).otherwise("").alias("imageUrl"),
@@ -45,9 +47,16 @@ def response(uploads: DataFrame) -> DataFrame:
 
 
 def last_by_name(uploads: DataFrame, order: str = "modified") -> DataFrame:
-    """A later upload replaces an earlier one of the same name; ties go to the larger content hash."""
-    newest = Window.partitionBy("name").orderBy(F.desc(order), F.desc(F.sha2("content", 256)))
-    return uploads.withColumn("at", F.row_number().over(newest)).where("at = 1").drop("at")
+    """A later upload replaces an earlier one of the same name; ties go to the larger content hash, and of equal ones one stays.
+
+    Names, times and digests alone are compared; content is shuffled only for the uploads that stay.
+    """
+    digest = free_name(uploads, "digest")
+    hashed = uploads.withColumn(digest, F.sha2("content", 256))
+    last = hashed.groupBy("name").agg(F.max(F.struct(F.col(order).alias("at"), F.col(digest).alias("digest"))).alias("last"))
+    last = last.select(F.col("name").alias("__name"), "last.at", F.col("last.digest").alias("__digest"))
+    same = (hashed["name"] == last["__name"]) & hashed[order].eqNullSafe(last["at"]) & hashed[digest].eqNullSafe(last["__digest"])
+    return hashed.join(last, same, "left_semi").dropDuplicates(["name"]).select(uploads.columns)
 
 
 def store(uploads: DataFrame, folder: str, order: str = "modified") -> DataFrame:

@@ -1,3 +1,5 @@
+import calendar
+import datetime
 import gzip
 import inspect
 import math
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalars as fn
 from millrace.operators import forest, matrix, relational, statistics, volumes
-from millrace.plans import feature_queries
+from millrace.plans import feature_queries, relational_queries
 from millrace.sources import uploads
 from millrace.sources import volumes as source
 from millrace.sources.tables import json_rows, scan
@@ -56,6 +58,7 @@ def test_validate_null_fails_and_messages(spark):
 
 
 def test_age_in_words(spark):
+    """From the first of a leap year: its own leap day is not taken off, so 731 days are two years and a day, not a month more."""
     cases = {0: "0 minutes", 59: "0 minutes", 60: "1 minute", 3600 * 26: "1 day, 2 hours", 86400 * 8: "1 week, 1 day", 31536000 * 2: "2 years", -5: "0 minutes", 86400 + 60: "1 day"}
     rows = [(s, f"2024-01-0{1}") for s in cases]
     df = spark.createDataFrame(rows, "s long, d string").withColumn("since", F.col("d").cast("timestamp"))
@@ -64,8 +67,46 @@ def test_age_in_words(spark):
     assert got == cases
 
 
+def told_age(since, now):
+    """The pinned library's rule (4.1), in plain Python."""
+    leap = calendar.leapdays(since.year, now.year)
+    if leap:
+        leap += -1 if calendar.isleap(since.year) else 1 if calendar.isleap(now.year) else 0
+    delta = now - since - datetime.timedelta(leap)
+    left, out = delta.days * 86400 + delta.seconds, []
+    if left <= 0:
+        return "0 minutes"
+    for size, name in ((31536000, "year"), (2592000, "month"), (604800, "week"), (86400, "day"), (3600, "hour"), (60, "minute")):
+        n, left = divmod(left, size)
+        if out and not n or len(out) == 2:
+            break
+        if n:
+            out.append(f"{n} {name}" + "s" * (n > 1))
+    return ", ".join(out) or "0 minutes"
+
+
+def test_ages_over_leap_years_and_fractions(spark):
+    at = datetime.datetime
+    rows = [(at(2023, 12, 2), at(2025, 12, 1)), (at(2024, 1, 1), at(2024, 1, 1, 0, 0, 59, 200_000)), (at(2024, 1, 1, 0, 0, 0, 900_000), at(2024, 1, 1, 0, 1)), (at(2000, 3, 1), at(2024, 2, 29)), (at(2024, 2, 29), at(2023, 1, 1))]
+    draw = np.random.default_rng(5)
+    for a, b in draw.integers(0, 40 * 365 * 86_400 * 1000, (400, 2)):
+        rows.append((at(1990, 1, 1) + datetime.timedelta(milliseconds=int(min(a, b))), at(1990, 1, 1) + datetime.timedelta(milliseconds=int(max(a, b)))))
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a timestamp_ntz, b timestamp_ntz")
+    got = {r.i: r.age.replace(fn.SPACE, " ") for r in frame.select("i", fn.age_in_words(F.col("a"), F.col("b")).alias("age")).collect()}
+    assert got == {i: told_age(*r) for i, r in enumerate(rows)}
+    assert got[0] == "1 year, 12 months" and got[1] == "0 minutes" and got[2] == "0 minutes"
+
+
+def test_email_forms(spark):
+    good = ["a@b.cd", "u@localhost", "a.b+c@x-y.example.org", '"a\\ b"@x.org', '"a\\"b"@x.org', "u@[127.0.0.1]", "u@[::ffff:0:1]", "u@[1:2:3:4:5:6:7:8]", "x@ünï.example", "a@1.xn--p1ai", "!#$%&'*+/=?^_`{}|~-@x.yz"]
+    bad = ["", "a", "@x.org", "a@", "a..b@x.y", "a..b@x.org", ".a@x.org", "a.@x.org", "a b@x.org", "a@b@x.org", "a@x", "a@x.y", "a@-x.org", "a@x-.org", "a@x.or-", "a@x..org", "a@[256.0.0.1]", "a@[1:2]", "a@[::1::2]", "a@x.org\n", "a\n@x.org", "ü@x.org", "a@x_y.org", "a@[1:2:3:4:5:6:7:8:9]", '"a b"@x.org', None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, t string")
+    got = {r.i for r in frame.where(fn.is_email(F.col("t"))).collect()}
+    assert got == set(range(len(good))), [(good + bad)[i] for i in got ^ set(range(len(good)))]
+
+
 def test_uploads_scan_split_store(spark, tmp_path):
-    png, jpg = bytes.fromhex("89504E470D0A1A0A") + b"x", bytes.fromhex("FFD8FFE1")
+    png, jpg = relational_queries.PNG, relational_queries.JPEG
     for name, data in {"a.png": png, "b.jpg": jpg, "c.png": b"no image"}.items():
         (tmp_path / name).write_bytes(data)
     found = uploads.scan_images(spark, f"file://{tmp_path}")
@@ -190,22 +231,28 @@ def test_ica_query_has_all_rounds(spark, sf, monkeypatch):
 
     monkeypatch.setattr(matrix, "fast_ica", noted)
     feature_queries.a9_independent_components(spark, sf)
-    assert calls == [200]
+    feature_queries.a9_vector_components(spark, sf)
+    assert calls == [200, 200]
 
 
 def test_forest_invariants(spark, sf):
-    model, _, ranked, top, small, _ = feature_queries._forests(spark, sf)
-    assert sum(r.importance for r in ranked.collect()) == pytest.approx(1) and len(set(top)) == 10
+    (split, model), (top, small) = feature_queries._forest(spark, sf), feature_queries._small_forest(spark, sf)
+    assert sum(r.importance for r in forest.importance(model, split).collect()) == pytest.approx(1) and len(set(top)) == 10
     assert small.numFeatures == 10 and model.numFeatures == 64
     assert all(0 <= r.accuracy <= 1 for r in feature_queries.a6_forest_accuracy(spark, sf).collect())
 
 
 def test_forest_queries_fit_whole_forests(spark, sf):
-    model, _, _, _, small, _ = feature_queries._forests(spark, sf)
-    for fitted in (model, small):
+    for fitted in (feature_queries._forest(spark, sf)[1], feature_queries._small_forest(spark, sf)[1]):
         assert fitted.getNumTrees == 100 and fitted.getOrDefault("maxDepth") == 30
 
 
+def test_forests_are_fitted_once(spark, sf, monkeypatch):
+    feature_queries.a6_forest_accuracy(spark, sf)
+    monkeypatch.setattr(forest, "fit_forest", None)
+    assert feature_queries.a7_refit_accuracy(spark, sf).count() == 1 and feature_queries.g9_importance(spark, sf).count() == 64
+
+
 def test_smoothing_keeps_the_sum_inside(spark):
     cells = [(x, y, z, 0, 1.0 if (x, y, z) == (3, 3, 3) else 0.0) for x in range(7) for y in range(7) for z in range(7)]
     out = volumes.smooth(spark.createDataFrame(cells, "x int, y int, z int, t int, value double"), fwhm=2)
@@ -231,5 +278,5 @@ def test_component_queries_run(spark, sf):
     assert len(shares) == 64 and shares[-1].cum_pct == pytest.approx(100)
     assert len(feature_queries.a3_components(spark, sf).first().components) == 58
     assert feature_queries.a4_loadings(spark, sf).count() == 64
-    cut = feature_queries.a9_independent_components(spark, sf)
+    cut = feature_queries.a9_vector_components(spark, sf)
     assert cut.where("value <> 0 and abs(value) < 0.8").count() == 0 and cut.count() == 5000

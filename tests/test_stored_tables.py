@@ -1,0 +1,317 @@
+"""Uploads, request bodies, image files, keyed tables, versioned schemas, cascades and stored steps."""
+
+import random
+import struct
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators import relational
+from millrace.plans import relational_queries as Q
+from millrace.sources import images, multipart, uploads, workspace
+from millrace.sources.keyed_table import KeyedTable
+from millrace.sources.versions import USERS, History
+
+# --- images ----------------------------------------------------------------------------------------------------------
+
+
+def png(width, height, depth=8, colour=2, interlaced=0, short=0, palette=False, order=None):
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if interlaced else ((0, 0, 1, 1),)
+    lines = 0
+    for x, y, dx, dy in passes:
+        w, h = len(range(x, width, dx)), len(range(y, height, dy))
+        lines += h * (1 + (w * depth * channels + 7) // 8) if w else 0
+    data = zlib.compress(bytes(lines - short))
+    chunks = [Q._chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced))]
+    chunks += [Q._chunk(b"PLTE", bytes(3))] if palette else []
+    chunks += [Q._chunk(b"IDAT", data[:5]), Q._chunk(b"IDAT", data[5:]), Q._chunk(b"IEND", b"")]
+    return Q.PNG[:8] + b"".join(chunks[i] for i in order or range(len(chunks)))
+
+
+def problem(data, **more):
+    return images.inspect(data, **more)["problem"]
+
+
+@pytest.mark.parametrize("colour, depth", [(0, 1), (0, 16), (2, 8), (2, 16), (3, 2), (4, 8), (6, 16)])
+@pytest.mark.parametrize("interlaced", [0, 1])
+def test_png_of_every_kind(colour, depth, interlaced):
+    for size in ((1, 1), (5, 3), (9, 17)):
+        whole = png(*size, depth, colour, interlaced, palette=colour == 3)
+        found = images.inspect(whole)
+        assert found["problem"] is None and (found["width"], found["height"]) == size
+        assert problem(png(*size, depth, colour, interlaced, short=1, palette=colour == 3)) == "image data is missing"
+        for end in range(1, len(whole)):
+            assert problem(whole[:-end])
+
+
+def test_broken_png():
+    assert problem(png(2, 2, colour=3)) is not None and problem(png(2, 2, order=[1, 2, 3])) == "the header is not first"
+    assert problem(png(2, 2, order=[0, 3])) == "image data is missing" and problem(png(2, 2, order=[0, 0, 1, 2, 3])) == "there are two headers"
+    assert problem(png(2, 2, depth=2, colour=2)) == "the header is wrong" and problem(png(0, 2)) == "the image has no size"
+    huge = Q.PNG[:8] + Q._chunk(b"IHDR", struct.pack(">IIBBBBB", 1 << 20, 1 << 20, 8, 2, 0, 0, 0))
+    assert "pixels" in problem(huge) and problem(png(3, 3), max_pixels=8) and problem(png(3, 3), max_bytes=20)
+    bad = bytearray(png(4, 4))
+    for at in range(8, len(bad)):
+        bad[at] ^= 0x20
+        assert problem(bytes(bad)), at
+        bad[at] ^= 0x20
+    torn = Q.PNG[:8] + Q._chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + Q._chunk(b"IDAT", b"no stream") + Q._chunk(b"IEND", b"")
+    assert problem(torn) == "the image data does not unpack"
+
+
+@pytest.mark.parametrize("kind, data, width, height", Q.IMAGES)
+def test_images_that_are_whole_or_cut_off(kind, data, width, height):
+    assert images.inspect(data, f"x.{kind.upper()}") == {"format": kind, "width": width, "height": height, "problem": None}
+    for end in range(1, len(data)):
+        assert problem(data[:-end]), end
+    assert images.inspect(data + b"more")["problem"] is None
+
+
+def test_other_broken_images():
+    assert problem(Q.JPEG.replace(b"\xff\xc0", b"\xff\xc4")) == "a scan comes before the frame header"
+    assert problem(Q.JPEG.replace(b"\xff\xe0", b"\x00\xe0")) is not None and problem(Q.GIF.replace(b",", b"?")) == "a block is of no known kind"
+    assert problem(b"GIF99a" + Q.GIF[6:]) == "the version is not known" and problem(Q.GIF[:19] + b";") == "image data is missing"
+    assert problem(None) == problem(b"") == "the file is empty" and problem(b"text") == "the file is no image of a known format"
+    assert problem(Q.PNG, name="a.exe") == "the name is not that of an image" and problem(Q.PNG, name="") == "the name is not that of an image"
+
+
+def test_decoded_frame(spark):
+    frame = spark.createDataFrame([(1, Q.PNG, "x"), (2, None, "y"), (2, None, "y"), (3, b"", None)], "i int, content binary, IMAGE string")
+    got = images.decoded(frame, out="found").collect()
+    assert Counter((r.i, r.found.problem) for r in got) == {(1, None): 1, (2, "the file is empty"): 2, (3, "the file is empty"): 1}
+    assert images.decoded(frame.where("false")).count() == 0
+
+
+def test_the_last_upload_of_a_name(spark):
+    rows = [("a.png", Q.PNG, 1, "keep"), ("a.png", Q.JPEG, 2, "keep"), ("a.png", Q.JPEG, 2, "keep"), ("b.png", Q.PNG, None, "keep"), ("c.png", Q.GIF, 5, "keep"), ("c.png", Q.PNG, 5, "keep")]
+    frame = spark.createDataFrame(rows, "name string, content binary, modified long, at string")
+    got = uploads.last_by_name(frame).collect()
+    assert sorted((r.name, bytes(r.content)[:3]) for r in got if r.name != "c.png") == [("a.png", Q.JPEG[:3]), ("b.png", Q.PNG[:3])]
+    assert len(got) == 3 and all(r["at"] == "keep" for r in got)
+
+
+# --- request bodies --------------------------------------------------------------------------------------------------
+
+
+def body(*parts, edge="XX", end="--\r\n", before=""):
+    return b"".join([before.encode(), *(f"--{edge}\r\n".encode() + p + b"\r\n" for p in parts), f"--{edge}{end}".encode()])
+
+
+def part(name, content, file=None, more=""):
+    named = f'; filename="{file}"' if file is not None else ""
+    return f'Content-Disposition: form-data; name="{name}"{named}\r\n{more}\r\n'.encode() + content
+
+
+FORM = "multipart/form-data; boundary=XX"
+
+
+def read(data, kind=FORM):
+    return [(r["field"], r["filename"], r["content"], r["problem"]) for r in multipart.read_body(data, kind)]
+
+
+def test_bodies():
+    noise = bytes(range(256)) * 3 + b"\r\n\r\n--X\r\n"
+    assert read(body(part("a", b"one"), part("image", noise, "p.png"), part("b", b""))) == [("a", None, b"one", None), ("image", "p.png", noise, None), ("b", None, b"", None)]
+    assert read(body(part("a", b"1"), before="preamble\r\n") + b"epilogue --XX\r\n") == [("a", None, b"1", None)]
+    inner = b"x --XX y\r\n--XXy\r\n--XX z\r\n-\r\n--XX--no"
+    assert read(body(part("a", inner))) == [("a", None, inner, None)]
+    assert read(b"--XX \t\r\n" + part("a", b"1") + b"\r\n--XX--") == [("a", None, b"1", None)]
+
+
+def test_bodies_that_are_cut_off_or_empty():
+    whole = body(part("a", b"one"), part("b", b"two", "f"))
+    assert read(whole[: whole.index(b"two") + 2]) == [("a", None, b"one", None), ("b", "f", b"tw", multipart.NO_END)]
+    assert read(whole[: whole.index(b"two") - 4])[1] == ("b", "f", None, multipart.NO_END)
+    assert read(b"--XX--") == read(b"") == read(None) == read(b"no edge") == [(None, None, None, multipart.NO_PART)]
+    assert read(whole, "text/plain") == read(whole, None) == read(whole, "multipart/form-data") == [(None, None, None, multipart.NO_BOUNDARY)]
+    assert read(body(b"Content-Type: text/plain\r\n\r\nq")) == [(None, None, b"q", multipart.NO_FIELD)]
+    assert read(b"--XX\r\n--XX\r\n" + part("a", b"1") + b"\r\n--XX--") == [(None, None, None, multipart.NO_HEADERS), ("a", None, b"1", None)]
+
+
+def test_headers_of_parts():
+    assert read(body(part("a", b"aGk=\r\n", more="Content-Transfer-Encoding: BASE64\r\n"))) == [("a", None, b"hi", None)]
+    assert read(body(part("a", b"?", more="Content-Transfer-Encoding: base64\r\n"))) == [("a", None, None, multipart.NOT_BASE64)]
+    assert read(body(part("i", b"", 'C:\\\\dir\\\\a \\"b\\".png')))[0][1] == 'a "b".png' and read(body(part("i", b"", "../up/x.png")))[0][1] == "x.png"
+    assert read(body(b"content-disposition: form-data;\r\n  name=i; filename*=UTF-8''%c3%bc.png\r\n\r\n1"))[0][:3] == ("i", "ü.png", b"1")
+    assert read(body(part("é", b"1"), edge="a'(b)"), "Multipart/Form-Data; charset=utf-8; BOUNDARY=\"a'(b)\"") == [("é", None, b"1", None)]
+
+
+def test_random_bodies_come_back():
+    draw = random.Random(2)
+    for _ in range(200):
+        parts = [(f"f{i}", bytes(draw.choices(b"-X\r\n a", k=draw.randrange(30)))) for i in range(draw.randrange(1, 5))]
+        if any(b"\r\n--XX" in b"\r\n" + c for _, c in parts):
+            continue
+        assert read(body(*(part(n, c) for n, c in parts))) == [(n, None, c, None) for n, c in parts]
+
+
+def test_form_frame(spark):
+    rows = [(1, body(part("t", b"x"), part("image", Q.PNG, "a.png"), part("image", b"", ""))), (2, b"--XX\r\n" + part("image", Q.PNG, "b.png")), (3, None)]
+    frame = spark.createDataFrame([(i, bytearray(b) if b else None, FORM, "own", "own") for i, b in rows], "id int, body binary, content_type string, Field string, other string")
+    parts = multipart.form_parts(frame.drop("Field"))
+    assert Counter(r.id for r in parts.collect()) == {1: 3, 2: 1, 3: 1} and {r.other for r in parts.collect()} == {"own"}
+    assert [(r.id, r.name, bytes(r.content)) for r in multipart.form_uploads(parts).collect()] == [(1, "a.png", Q.PNG)]
+    assert multipart.form_parts(frame.drop("Field").where("false")).count() == 0
+
+
+# --- keyed tables ----------------------------------------------------------------------------------------------------
+
+
+def files(path):
+    return {str(p): p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet") if "bucket=" in str(p)}
+
+
+def buckets_of(changed):
+    return {p.split("bucket=")[1].split("/")[0] for p in changed}
+
+
+def test_changes_rewrite_their_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "users")
+    rows = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("b").alias("bucket"))
+    table = KeyedTable.create(rows, path, "k", buckets=100)
+    want = {i: (f"n{i}", False) for i in range(5000)}
+
+    def check(change, keys):
+        before = files(path)
+        touched = change()
+        after = files(path)
+        assert len(touched) <= 10 and buckets_of(p for p, _ in set(before.items()) ^ set(after.items())) <= set(map(str, touched))
+        for k, v in keys.items():
+            want.pop(k, None)
+            want.update({k: v} if v else {})
+        got = {r.k: (r.name, r.deleted_at is not None) for r in KeyedTable.open(spark, path).read().collect()}
+        assert got == want
+
+    ten = spark.range(0, 1000, 100).select(F.col("id").alias("k"))
+    check(lambda: table.update(ten.withColumn("name", F.lit("new"))), {i: ("new", False) for i in range(0, 1000, 100)})
+    check(lambda: table.update(ten.select((F.col("k") + 90_000).alias("k")).withColumn("name", F.lit("absent"))), {})
+    fresh = ten.select((F.col("k") + 5_000).alias("k"), F.lit("in").alias("name"))
+    check(lambda: table.insert(fresh.union(fresh)), {i + 5000: ("in", False) for i in range(0, 1000, 100)})
+    check(lambda: table.insert(ten.withColumn("name", F.lit("not taken"))), {})
+    check(lambda: table.mark(ten, deleted_at=F.current_timestamp()), {i: ("new", True) for i in range(0, 1000, 100)})
+    check(lambda: table.delete(ten), {i: None for i in range(0, 1000, 100)})
+    mixed = spark.createDataFrame([(1, "up"), (7777, "put")], "k long, name string")
+    check(lambda: table.upsert(mixed), {1: ("up", False), 7777: ("put", False)})
+    check(lambda: table.upsert(mixed), {1: ("up", False), 7777: ("put", False)})  # the same change once more
+    assert sorted(r.name for r in table.lookup([1, 7777, 12345]).collect()) == ["put", "up"]
+    assert table.read().columns == rows.columns and {r.bucket for r in table.read().where("k < 50").collect()} == {"b"}
+
+
+def test_keyed_table_edges(spark, tmp_path):
+    path, kind = str(tmp_path / "t"), "k string, v int"
+    table = KeyedTable.create(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], kind), path, "k", buckets=4)
+    assert sorted(map(tuple, table.read().collect())) == [("a", 2), ("b", 3)]
+    assert table.update(spark.createDataFrame([], kind)) == []
+    for wrong in (lambda: KeyedTable.create(table.read(), path, "k"), lambda: table.upsert(spark.createDataFrame([(None, 1)], kind))):
+        with pytest.raises(ValueError):
+            wrong()
+    table.delete(table.read().select("k"))
+    assert table.read().count() == 0 and table.insert(spark.createDataFrame([("c", 1)], kind)) and table.read().count() == 1
+    empty = KeyedTable.create(spark.createDataFrame([], kind), str(tmp_path / "e"), "k")
+    assert empty.read().count() == 0 and empty.upsert(spark.createDataFrame([("c", 1)], kind)) and KeyedTable.open(spark, empty.path).read().first().v == 1
+
+
+def test_a_change_that_was_cut_off_is_made_again(spark, tmp_path, monkeypatch):
+    table = KeyedTable.create(spark.range(100).select(F.col("id").alias("k"), F.lit(0).alias("v")), str(tmp_path / "t"), "k", buckets=8)
+    change, write = spark.createDataFrame([(i, 1) for i in range(0, 100, 9)], "k long, v int"), KeyedTable._write
+    monkeypatch.setattr(KeyedTable, "_write", lambda self, rows: (write(self, rows.where("bucket < 4")), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        table.update(change)
+    monkeypatch.setattr(KeyedTable, "_write", write)
+    table.update(change)
+    assert {(r.k, r.v) for r in table.read().collect()} == {(i, int(i % 9 == 0)) for i in range(100)}
+
+
+# --- versions --------------------------------------------------------------------------------------------------------
+
+
+def test_schema_of_every_version():
+    roles = [USERS.schema("user", v)["role_id" if v in (3, 4) else "role"].dataType.simpleString() for v in range(1, 9)]
+    assert roles == ["string", "string", "bigint", "bigint", "string", "bigint", "bigint", "bigint"]
+    assert [len(USERS.schema("user", v)) for v in range(1, 9)] == [5, 5, 5, 8, 8, 8, 8, 8]
+    assert USERS.tables(6) == ["organization", "role", "user", "userprofile"] and USERS.tables() == ["organization", "user", "userprofile"]
+    assert USERS.schema("organization")["user_id"].dataType.simpleString() == "bigint" and "organization_id" in USERS.schema("userprofile").names
+    for wrong in ([{"t": [("add", "a", "int", None)]}], [{"t": [("create", {"a": "int"})]}, {"t": [("add", "a", "int", 1)]}], [{"t": [("create", {"a": "int"})]}, {"t": [("turn", "a")]}]):
+        with pytest.raises(ValueError):
+            History(wrong).schema("t")
+
+
+def test_files_of_all_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}/h"
+    for v, role in ((1, "admin"), (1, "4"), (2, None), (3, 5), (4, None), (5, "2"), (5, "x"), (8, 3)):
+        values = {"id": v, "role": role, "role_id": role, "email": f"{v}@x", "is_active": False, "is_staff": True, "is_superuser": None}
+        own = USERS.schema("user", v)
+        USERS.write(spark.createDataFrame([tuple(values.get(n) for n in own.names)], own), folder, "user", v)
+    got = sorted((r.id, r.role, r.is_active, r.is_staff) for r in USERS.read(spark, folder, "user").collect())
+    assert got == sorted([(1, 1, True, False), (1, 4, True, False), (2, 1, True, False), (3, 5, True, False), (4, 1, False, True), (5, 2, False, True), (5, 1, False, True), (8, 3, False, True)])
+    assert USERS.read(spark, folder, "organization").count() == 0 and USERS.read(spark, folder, "user", [3]).count() == 1
+    with pytest.raises(ValueError):
+        USERS.read(spark, folder, "role")
+    with pytest.raises(ValueError):
+        USERS.write(spark.range(1), folder, "user", 1)
+
+
+# --- cascades --------------------------------------------------------------------------------------------------------
+
+
+def test_cascades_through_cycles(spark):
+    """People who manage people, in teams that people lead: a delete goes around until nothing is new."""
+    people = spark.createDataFrame([(1, None, 1), (2, 1, 1), (3, 2, 2), (4, None, 2), (5, 4, None), (None, 1, None), (6, None, 3)], "id long, boss long, team long")
+    teams = spark.createDataFrame([(1, 4), (2, 3), (3, 6)], "no long, lead long")
+    notes = spark.createDataFrame([(10, 5), (11, 6), (12, None), (12, 6)], "note long, by long")
+    refs = [("people", "boss", "people", "id"), ("people", "team", "teams", "no"), ("teams", "lead", "people", "id"), ("notes", "by", "people", "id")]
+    tables = {"people": people, "teams": teams, "notes": notes}
+    left = relational.cascade_delete(tables, refs, {"people": spark.createDataFrame([(2,)], "id long")})
+    # 2 takes 3 along, 3 its team 2, that its member 4, 4 the team 1 and 5, team 1 its member 1, and 1 whoever has no id.
+    assert sorted(r.id for r in left["people"].collect()) == [6] and [r.no for r in left["teams"].collect()] == [3]
+    assert sorted((r.note, r.by) for r in left["notes"].select("note", "by").where("by is not null").collect()) == [(11, 6), (12, 6)] and left["notes"].count() == 3
+    same = relational.cascade_delete(tables, refs, {"people": spark.createDataFrame([(99,)], "id long")})
+    assert all(same[t].count() == tables[t].count() and same[t].columns == tables[t].columns for t in tables)
+
+
+def test_internal_names_as_columns(spark):
+    frame = spark.createDataFrame([(1, "a", "b", "c", "d", "e", "f")], "k long, hit string, new_k string, times string, there string, last string, owner string")
+    assert tuple(relational.update_by_key(frame, frame.select("k", F.lit("z").alias("hit")), "k").first()) == (1, "z", "b", "c", "d", "e", "f")
+    assert tuple(relational.uniqueness(frame, frame, "k").first()) == (1, "a", "b", "c", "d", "e", "f", False)
+    assert relational.profile_with_user(frame, frame, "k", "k", "hit").first().owner == "f"
+
+
+# --- stored steps ----------------------------------------------------------------------------------------------------
+
+
+def test_stored_steps(spark, tmp_path):
+    data, store, calls = tmp_path / "in", f"file://{tmp_path}/store", []
+    spark.range(5).write.parquet(f"file://{data}")
+
+    def run(step="double", parameters=None, **more):
+        def build():
+            calls.append(step)
+            return spark.read.parquet(f"file://{data}").select((F.col("id") * 2).alias("id"))
+
+        return sorted(r.id for r in workspace.remembered(spark, step, [f"file://{data}"], parameters or {"n": 2}, build, folder=store, **more).collect())
+
+    assert run() == run() == [0, 2, 4, 6, 8] and calls == ["double"]
+    run(parameters={"n": 3})
+    run(step="other")
+    assert len(calls) == 3
+    spark.range(5, 6).write.mode("append").parquet(f"file://{data}")
+    assert run() == [0, 2, 4, 6, 8, 10] and len(calls) == 4
+    kept = max((p for p in (tmp_path / "store").iterdir() if p.name.startswith("double")), key=lambda p: p.stat().st_mtime)
+    (kept / "_SUCCESS").unlink()
+    assert run() == [0, 2, 4, 6, 8, 10] and len(calls) == 5 and run() and len(calls) == 5
+    assert run(by_content=True) == run(by_content=True) and len(calls) == 6
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_")]
+
+
+def test_the_same_content_elsewhere_has_the_same_digest(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.bin").write_bytes(b"same")
+    one, two = (workspace.inputs_digest(spark, [f"file://{tmp_path}/{n}"], by_content=True) for n in ("a", "b"))
+    assert one == two
+    (tmp_path / "b" / "x.bin").write_bytes(b"other")
+    assert workspace.inputs_digest(spark, [f"file://{tmp_path}/b"], by_content=True) != one
