@@ -69,16 +69,15 @@ def format_chat(
 
     Cases: null texts and roles count as empty. Turns that share a number, or have none, go by role, then text; null
     numbers come first. Rows that repeat are turns of their own. Null ids form one conversation. An empty table gives
-    an empty result. Other columns are ignored. A conversation is one value and so is gathered in one task.
+    an empty result. Other columns are ignored; where the id has the name of a column here, that column's begins with ``_``. A conversation is one value and so is gathered in one task.
     """
     blank = F.lit("")
     row = F.struct(
         F.col(turn_col).alias("at"), F.coalesce(F.col(role_col), blank).alias("role"), F.coalesce(F.col(text_col), blank).alias("text")
     )
-    conv = turns.select(F.col(conv_col).alias(conv_col), row.alias("row")).groupBy(conv_col)
-    source = conv.agg(F.array_sort(F.collect_list("row")).alias("rows")).withColumn(
-        "source", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    )
+    # Below, every column has a name of this function's own; the id gets its name back at the end.
+    source = turns.select(F.col(conv_col).alias("conv"), row.alias("row")).groupBy("conv").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    source = source.withColumn("source", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))))
     plain = F.array_join(F.transform("source", lambda t: _turn(t["role"], t["text"])), "")
     escaped = F.transform("source", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     checked = source.withColumn("plain", plain).withColumn("safe", F.coalesce(parse(F.col("plain")) == F.col("source"), F.lit(False)))
@@ -98,7 +97,9 @@ def format_chat(
         )
     )
     read = body.withColumns({"segments": segments, "turns": parse(F.col("formatted"))})
-    return read.select(conv_col, "formatted", "segments", "turns", F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical"))
+    identical = F.coalesce(F.col("turns") == F.col("source"), F.lit(False)).alias("identical")
+    made = read.select("conv", "formatted", "segments", "turns", identical)
+    return made.toDF(conv_col, *[f"_{n}" if n == conv_col.lower() else n for n in made.columns[1:]])
 
 
 def loss_text(segments: Column) -> Column:
