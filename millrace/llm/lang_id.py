@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.shared import bound_batches, lean_worker
+from millrace.llm.shared import BROADCAST_ROWS, bound_batches, join_sized, lean_worker, materialize
 
 #: Ranks of a profile, of a language and of a document.
 PROFILE = 300
@@ -19,8 +19,8 @@ PROFILE = 300
 ORDER = 3
 #: Labelled rows of a language that its profile is fitted on, about: rows are drawn by a hash of their id.
 FIT_ROWS = 4_000
-#: Languages at most; more labels than this are an error, because every worker holds a profile of each.
-LANGS = 10_000
+#: Texts whose n-grams a worker holds at a time while profiles are fitted.
+TEXTS = 64
 #: Characters of a text that are counted at a time; whole texts are counted.
 CHUNK = 1 << 20
 UNKNOWN = "und"
@@ -82,16 +82,29 @@ def _ranked(grams: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
 
 
 class Profiles:
-    """Rank-order profiles of languages; ``predict`` gives the nearest language and how far it stands out."""
+    """Rank-order profiles of languages; ``predict`` gives the nearest language and how far it stands out.
 
-    def __init__(self, ranked: dict[str, list[int]]) -> None:
+    Only the ranks that there are are kept: a list of known n-grams, and for each the languages that rank it and where,
+    at most PROFILE entries a language, 24 bytes each.
+    """
+
+    def __init__(self, ranked: Mapping[str, Sequence[int]]) -> None:
         self.langs = sorted(ranked)
-        self.known = np.unique(np.array([g for gs in ranked.values() for g in gs], dtype=np.int64).view(np.uint64))
-        #: rank of a known n-gram (row) in a language (column); a language that lacks it counts the whole profile.
-        self.rank = np.full((len(self.known) + 1, len(self.langs)), PROFILE, dtype=np.int64)
-        for k, lang in enumerate(self.langs):
-            own = np.array(ranked[lang], dtype=np.int64).view(np.uint64)
-            self.rank[np.searchsorted(self.known, own), k] = np.arange(len(own))
+        sizes = [len(ranked[lang]) for lang in self.langs]
+        grams = np.concatenate([np.zeros(0, np.int64), *(np.asarray(ranked[lang], dtype=np.int64) for lang in self.langs)]).view(np.uint64)
+        rank = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])
+        by = np.argsort(grams, kind="stable")
+        self.known, first = np.unique(grams[by], return_index=True)
+        #: where the entries of a known n-gram begin, the end last; language and rank of an entry.
+        self.start = np.r_[first, len(by)]
+        self.lang, self.rank = np.repeat(np.arange(len(sizes)), sizes)[by].astype(np.int32), rank[by].astype(np.int32)
+
+    def ranked(self) -> dict[str, list[int]]:
+        """The n-grams of each language by rank."""
+        gram = np.repeat(self.known, np.diff(self.start)).view(np.int64)
+        by = np.lexsort((self.rank, self.lang))
+        ends = np.searchsorted(self.lang[by], np.arange(len(self.langs) + 1))
+        return {lang: gram[by[a:b]].tolist() for lang, a, b in zip(self.langs, ends, ends[1:])}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The out-of-place distance sums, over the document's ranked n-grams, how far each lies from its rank in the
@@ -102,49 +115,52 @@ class Profiles:
         if not len(grams):
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        row = np.where(self.known[at] == grams, at, len(self.known))
-        far = np.abs(self.rank[row] - np.arange(len(grams))[:, None])
-        far[self.rank[row] == PROFILE] = PROFILE
-        total = far.sum(axis=0)
+        place = np.flatnonzero(self.known[at] == grams)
+        begin, size = self.start[at[place]], self.start[at[place] + 1] - self.start[at[place]]
+        ends = np.cumsum(size)
+        entry = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        # All n-grams count PROFILE at first; an n-gram that a language ranks brings its distance down to that of the ranks.
+        nearer = PROFILE - np.abs(self.rank[entry] - np.repeat(place, size))
+        total = PROFILE * len(grams) - np.bincount(self.lang[entry], weights=nearer, minlength=len(self.langs)).astype(np.int64)
         best = int(total.argmin())
         return self.langs[best], float(1 - total[best] / (PROFILE * len(grams)))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (lang, text) to (lang, gram, n), summed over TEXTS texts at a time."""
+    lean_worker()
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            by_lang: dict[str, list] = {}
+            for lang, text in zip(*whole.slice(at, TEXTS).columns):
+                by_lang.setdefault(lang.as_py(), []).append(ngram_counts(text.as_py()))
+            for lang, found in by_lang.items():
+                g, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+                n = np.bincount(back, weights=np.concatenate([x[1] for x in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+
 def fit_profiles(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> Profiles:
     """Profiles from labelled rows; rows without language or text are left out.
 
     A language of more than ``fit_rows`` rows is fitted on about that many, those whose hashed id falls below its
     share; that is the only sample. N-grams are counted in the tasks, summed by language and n-gram, and PROFILE of
-    them a language come to the driver.
+    them a language come to the driver: they are the model, which grows with the languages and not with the rows.
     """
+    bound_batches(labelled.sparkSession)
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), draw.alias("draw"), F.col(text_col).alias("text"))
     rate = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.count("*"))
-    share = [(r[0], r[1]) for r in rows.groupBy(lang_col).agg(rate).limit(LANGS + 1).collect()]
-    if len(share) > LANGS:
-        raise ValueError(f"more than {LANGS} languages")
-    if not share:
-        return Profiles({})
-    rates = F.create_map(*[F.lit(x) for r in share for x in r])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < rates[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            by_lang: dict[str, list] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                by_lang.setdefault(lang, []).append(ngram_counts(text))
-            for lang, found in by_lang.items():
-                g, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([x[1] for x in found])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    summed = drawn.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rates = materialize(rows.groupBy("lang").agg(rate.alias("rate"), F.count("*").alias("n")), "lang-rates")
+    few = rates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = rows.join(F.broadcast(rates.drop("n")), "lang") if few else join_sized(rows, rates, "lang", deal=F.xxhash64("draw"))
+    drawn = met.where(F.col("draw") < F.col("rate")).select("lang", "text")
+    summed = drawn.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = summed.withColumn("place", place).where(F.col("place") <= PROFILE).orderBy("lang", "place").collect()
-    ranked: dict[str, list[int]] = {}
-    for r in top:
-        ranked.setdefault(r.lang, []).append(r.gram)
-    return Profiles(ranked)
+    top = summed.withColumn("place", place).where(F.col("place") <= PROFILE)
+    listed = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "gram"))), lambda g: g["gram"]).alias("grams")).toArrow()
+    return Profiles({lang.as_py(): grams.values.to_numpy() for lang, grams in zip(listed.column("lang"), listed.column("grams"))})
 
 
 def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
