@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, sized_broadcast
+from millrace.llm.shared import join_sized, materialize, sized_broadcast
 
 #: Trees, and entries that a leaf is to hold; the depth follows from the number of entries.
 TREES, LEAF = 3, 64
@@ -77,6 +77,12 @@ class Forest:
                     heapq.heappush(queue, (crossed, t, level, node ^ 1))
             yield node + (t << self.depth)
 
+    def enough(self, query: np.ndarray, limit: float) -> np.ndarray:
+        """The leaves that are opened up to a limit, or else, once they are as many as a tree has, all leaves of one tree: these
+        hold every entry, once each, which is less work than the same entries from several trees."""
+        found = np.fromiter(islice(self.opened(query, limit), 1 << self.depth), np.int64)
+        return found if len(found) < 1 << self.depth else np.arange(1 << self.depth) + (np.bincount(found[:FIRST] >> self.depth).argmax() << self.depth)
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
@@ -200,7 +206,9 @@ def nearest(
     A query takes leaves of all trees from one priority queue. The first FIRST of them give it k neighbours at some
     distance D. A neighbour at distance D in a direction of its own lies about D / sqrt(dim) off along any normal, so
     the queue goes on until the squared cuts crossed sum to more than slack * D**2 / dim. Vectors with structure need few
-    leaves, vectors without any need most of them. Queries go to shards of neighbouring leaves, once each with the list of
+    leaves. Vectors without any would need most leaves of all trees; once a query has opened as many leaves as a tree
+    has, it takes all leaves of one tree instead, so it is never compared with more than all entries and its FIRST leaves, and
+    then its answer is exact. Queries go to shards of neighbouring leaves, once each with the list of
     leaves they open; members and queries of a shard meet in blocks of bounded size and are scored exactly. What is worse
     than the k + 1 that a query has from its first leaves does not leave a block.
 
@@ -212,11 +220,14 @@ def nearest(
     """
     known, dim, norm = usable(rows, id_col, vec_col)
     kind, vector = (known.schema[c].dataType.simpleString() for c in ("id", "v"))
-    copies = F.dense_rank().over(Window.partitionBy("v").orderBy("id"))
+    known = known.dropDuplicates(["id", "v"])  # so that ranks, which are limited before the shuffle, are no row's twice
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     entries = known.withColumn("copy", copies).where(F.col("copy") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     entries = materialize(entries.select(F.col("ids")[0].alias("e"), "ids", "v"), "ann-entries")
     asked = known.join(rows.where(is_query).select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    asked = materialize(asked.join(entries.select("e", "v"), "v").select("id", "e").distinct(), "ann-queries")
+    asked = materialize(asked, "ann-asked")
+    met = materialize(asked.groupBy("v").agg(F.count("*").alias("n")).join(entries.select("e", "v"), "v"), "ann-asked-vectors")
+    asked = materialize(join_sized(asked, met, "v", deal=F.xxhash64("id")).select("id", "e").distinct(), "ann-queries")
     queries = materialize(entries.join(asked.select("e").distinct(), "e", "left_semi").select("e", "v"), "ann-vectors")
     forest = index(entries, dim, norm, leaf=leaf, fit_rows=fit_rows)
 
@@ -227,9 +238,8 @@ def nearest(
         return [np.sort(np.fromiter(islice(forest.opened(q), FIRST), np.int64)) for q in _scaled(_matrix(batch.column(1), dim), norm)]
 
     def others(batch: pa.RecordBatch) -> list[np.ndarray]:
-        limits = batch.column(3).to_pylist()
-        every = [np.fromiter(forest.opened(q, far), np.int64) for q, far in zip(_scaled(_matrix(batch.column(1), dim), norm), limits)]
-        return [np.setdiff1d(e, f) for e, f in zip(every, first(batch))]
+        queries, limits = _scaled(_matrix(batch.column(1), dim), norm), batch.column(3).to_pylist()
+        return [np.setdiff1d(forest.enough(q, far), f) for q, far, f in zip(queries, limits, first(batch))]
 
     nothing = F.lit(-math.inf).alias("has")
     members = _shards(forest, entries.select("e", "v", nothing), kind, vector, dim, homes)
