@@ -1,3 +1,6 @@
+import math
+import pickle
+import tracemalloc
 import itertools
 import re
 import zlib
@@ -56,7 +59,7 @@ def test_language_of_held_out_documents(spark, sf):
     assert right and np.mean(right) > 0.97
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     fitted = lang_id.fit_profiles(spark.read.parquet(f"{sf}/documents.parquet").where(~lang_id.held_out()))
-    ranked = {lang: fitted.known[np.argsort(fitted.rank[:-1, k], kind="stable")][: (fitted.rank[:-1, k] < lang_id.PROFILE).sum()].tolist() for k, lang in enumerate(fitted.langs)}
+    ranked = fitted.ranked()
     for r in got[:40]:
         lang, score = brute_predict(rows[r.doc_id].text, ranked)
         assert r.lang_pred == lang and r.score == pytest.approx(score)
@@ -81,12 +84,49 @@ def test_fit_sample_is_bounded(spark):
     assert len(lang_id.fit_profiles(many.limit(50), fit_rows=50).known) == 200
 
 
-def test_more_languages_than_allowed(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "LANGS", 2)
-    rows = [(i, "some words here", lang) for i, lang in enumerate("abc")]
-    with pytest.raises(ValueError, match="more than 2 languages"):
-        lang_id.fit_profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-
+def test_batches_are_bounded_while_profiles_are_fitted(spark, monkeypatch):
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(n) for n in names]
+    seen = []
+    monkeypatch.setattr(lang_id, "materialize", lambda df, tag: (seen.append([spark.conf.get(n) for n in names]), shared.materialize(df, tag))[1])
+    try:
+        for n in names:
+            spark.conf.set(n, "1000000000")
+        lang_id.fit_profiles(docs(spark, [(1, "some words", "s", "en")]))
+        assert seen == [["4000", str(8 << 20)]] == [[spark.conf.get(n) for n in names]]
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+
+
+def test_thousands_of_languages(spark):
+    """5,000 languages of 300 n-grams each, drawn from 100,000: a dense table of ranks would have 4 GB. The nearest one is found."""
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x4E00, 0x9000)]
+    ranked = {f"l{i:04}": [ord(letters[(i * 7 + j * 131) % len(letters)]) | int(rng.integers(0, 5)) << 21 for j in range(300)] for i in range(5000)}
+    profiles = lang_id.Profiles(ranked)
+    assert len(pickle.dumps(profiles)) < 60 << 20 and len(profiles.langs) == 5000
+    own = " ".join(letters[(123 * 7 + j * 131) % len(letters)] for j in range(300))
+    tracemalloc.start()
+    profiles.predict(own)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    rows = [(i, letters[i % 3000] * 3 + letters[i % 2999 + 5000] * 2, "s", f"l{i % 1500}") for i in range(3000)]
+    found = lang_id.learn_and_identify(docs(spark, rows)).collect()
+    assert len({r.lang for r in found}) == 1500 and sum(r.lang_pred == r.lang for r in found if zlib.crc32(str(r.doc_id).encode()) % 4 != 2) > 2000
+
+
+def test_distances_against_their_definition():
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(1, 6))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(30)]
+    ranked = {f"l{i}": [int(g) for g in lang_id._ranked(*lang_id.ngram_counts(t), 50 + i).view(np.int64)] for i, t in enumerate(texts[:8])}
+    profiles = lang_id.Profiles(ranked)
+    for text in texts:
+        grams = lang_id._ranked(*lang_id.ngram_counts(text), lang_id.PROFILE).view(np.int64).tolist()
+        far = {lang: sum(abs(own.index(g) - k) if g in own else lang_id.PROFILE for k, g in enumerate(grams)) for lang, own in ranked.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        assert profiles.predict(text) == (best, pytest.approx(1 - far[best] / (lang_id.PROFILE * len(grams))))
 
 
 def test_url_parts_and_rules(spark):
@@ -277,6 +317,45 @@ def test_clustered_vectors_open_few_leaves(spark):
     assert np.mean(scored) < 0.4
 
 
+def test_vectors_without_structure_cost_no_more_than_all_of_them():
+    """Once a query has opened as many leaves as a tree has, it reads one tree whole: every entry once, beside its first leaves."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 64))
+    lifted = neighbours._lifted(x, norm := float(np.linalg.norm(x, axis=1).max()))
+    forest = neighbours.Forest(lifted, len(x))
+    leaf = forest.leaves(lifted)
+    for q in neighbours._scaled(x[:20], norm):
+        first = list(itertools.islice(forest.opened(q), neighbours.FIRST))
+        every = forest.enough(q, math.inf)
+        assert len(every) == 1 << forest.depth and len(set((every >> forest.depth).tolist())) == 1
+        held = np.isin(leaf, every)
+        assert (held.sum(axis=1) == 1).all() and held.sum() + np.isin(leaf, np.setdiff1d(first, every)).sum() <= len(x) + neighbours.FIRST * 2 * neighbours.LEAF
+        some = forest.enough(q, 1e-9)
+        assert 0 < len(some) < 1 << forest.depth
+
+
+def test_a_vector_that_a_third_of_the_rows_have(spark, monkeypatch):
+    """Rows that repeat an id, and queries that share a vector, are dealt out; ties go to the smaller ids."""
+    monkeypatch.setattr(shared, "CHUNK", 10)
+    rng = np.random.default_rng(6)
+    rows = [(i % 200, [1.0, 2.0, 3.0]) for i in range(600)] + [(1000 + i, rng.standard_normal(3).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = found(neighbours.nearest(frame, F.col("vec_id") % 2 == 0, k=5))
+    want = brute_nearest_of(dict(rows), lambda i: i % 2 == 0, 5)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == want
+
+
+def brute_nearest_of(vectors, asks, k):
+    ids = np.array(sorted(vectors))
+    x = np.array([vectors[i] for i in ids])
+    out = {}
+    for i, v in zip(ids, x):
+        if asks(i):
+            order = [j for j in np.lexsort((ids, -np.round(x @ v, 9))) if ids[j] != i]
+            out[int(i)] = [int(ids[j]) for j in order[:k]]
+    return out
+
+
 def test_forest_queue_is_in_order_of_its_bounds():
     rng = np.random.default_rng(3)
     forest, q = neighbours.Forest(rng.standard_normal((4096, 8)), 1 << 20), rng.standard_normal(8)

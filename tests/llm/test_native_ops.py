@@ -149,6 +149,39 @@ def test_mix_sources_awkward(spark, sources, monkeypatch):
     assert all(r.taken == r["size"] and r.target == r.source_size for r in once)
 
 
+@pytest.mark.parametrize("parts", [50_000, 20])
+def test_rows_that_repeat_id_and_text_go_one_by_one(spark, parts, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL", parts)
+    rows = [(1, "a b c d", "s0", "en")] * 100 + [(2, "e f", "s1", "en")] * 50 + [(3, "g", "s2", "en")] * 10 + [(4 + i, "h i j", "s3", "en") for i in range(40)]
+    got = mixing.mix_sources(docs(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows)
+    for source in ("s0", "s1", "s2", "s3"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * max(r["size"] for r in own)
+        assert all(r.taken <= 2 * r["size"] for r in own)
+
+
+@pytest.mark.parametrize("name", ["threshold", "passes", "MIX_HASH", "mix_row", "carried", "one_more", "mix_part", "n", "floor", "need", "target", "copies", "Size"])
+def test_mix_sources_with_its_own_names(spark, name):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 3}") for i in range(60)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {r.doc_id: (r.source_size, r.target, r.copies) for r in mixing.mix_sources(plain).collect()}
+    got = mixing.mix_sources(plain.withColumn(name, F.lit("mine")))
+    assert {r.doc_id: (r.source_size, r.target, r.copies) for r in got.collect()} == want
+    if name.lower() not in ("target", "copies", "size"):
+        assert {r[name] for r in got.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("name", ["rows", "source", "plain", "safe", "body", "turns", "conv", "row", "Formatted", "identical", "segments"])
+def test_format_chat_of_ids_with_its_own_names(spark, name):
+    rows = [(7, 0, "user", "hi"), (7, 1, "assistant", "</s>"), (8, 0, "user", "x")]
+    frame = spark.createDataFrame([(*r, "mine", "mine") for r in rows], f"{name} long, at long, role string, text string, source2 string, conv2 string")
+    done = chat_format.format_chat(frame, conv_col=name, turn_col="at")
+    own = lambda n: f"_{n}" if n == name.lower() else n
+    assert done.columns == [name, *map(own, ("formatted", "segments", "turns", "identical"))]
+    assert sorted((r[name], r[own("identical")], len(r[own("turns")])) for r in done.collect()) == [(7, True, 2), (8, True, 1)]
+
+
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, sf, name):
     compare(spark, Q.queries()[name], Q.oracle_sql()[name], sf)
