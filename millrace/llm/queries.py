@@ -116,8 +116,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = alignment.align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    told = F.when(F.col("n_a") > 0, F.sha2(alignment.told_groups(F.col("groups")), 256)).otherwise("")
-    aligned = aligned.select("doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), told.alias("groups_sha256"), "links")
+    told = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = aligned.select("doc_id", "n_a", "n_b", "n_groups", told.alias("groups_sha256"), "links")
     return alignment.score_links(aligned).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

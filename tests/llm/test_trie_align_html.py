@@ -178,8 +178,9 @@ ODD = [
 def scored(frame, **more):
     cols = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "sha")
     aligned = alignment.align_tokens(frame, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    sha = F.when(F.col("n_a") > 0, F.sha2(alignment.told_groups(F.col("groups")), 256)).otherwise("")
-    done = alignment.score_links(aligned.withColumns({"n_groups": F.size("groups"), "sha": sha}).drop("groups"), **more)
+    sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    assert aligned.where(F.size(alignment.group_arrays(F.col("groups"))) != F.col("n_groups")).isEmpty()
+    done = alignment.score_links(aligned.withColumn("sha", sha).drop("groups"), **more)
     return done, lambda rows: Counter((r.doc_id, *(r[c] for c in cols)) for r in rows)
 
 
@@ -208,10 +209,16 @@ def test_alignment_of_nothing_and_of_forgotten_chunks(spark, coders, monkeypatch
         pair = alignment.Pair(f.read(), g.read())
     monkeypatch.setattr(alignment, "MEMO", 40)
     texts = [f"word{i} and other{i % 7} words" for i in range(60)] + ODD
-    want = [(w[0], w[1], w[2]) for w in brute_alignment(texts, coders)]
+    want = [(w[0], w[1], w[2], w[6]) for w in brute_alignment(texts, coders)]
+    sha = lambda told, n: hashlib.sha256(told.encode()).hexdigest() if n else ""
     for _ in range(2):
-        got = [tuple(len(x.as_py()) if isinstance(x.as_py(), list) else x.as_py() for x in row) for t in texts for row in zip(*pair.align([t])[:3])]
-        assert got == want and len(pair.row) < 80
+        rows = [[x[0].as_py() for x in pair.align([t])[:4]] for t in texts]
+        assert [(*r[:3], sha(r[3], r[0])) for r in rows] == want and len(pair.row) < 80
+
+
+def test_groups_as_arrays(spark):
+    got = spark.createDataFrame([("1,2|3;4|5,6",), ("",)], "g string").select(alignment.group_arrays(F.col("g")).alias("x")).collect()
+    assert [[(list(g.a), list(g.b)) for g in r.x] for r in got] == [[([1, 2], [3]), ([4], [5, 6])], []]
 
 
 def test_a_piece_with_a_space_inside_needs_whole_texts(spark):
