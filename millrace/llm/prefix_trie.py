@@ -171,15 +171,16 @@ def _build(sequences: DataFrame, most: int, least: int) -> DataFrame:
         return none
     most = max(least, min(most, total // SHARES))
 
-    no_parent = F.lit(None).cast(kind)
+    no_parent, ended = F.lit(None).cast(kind), rows.where(turns == 0).select("ends_sha256").first()  # one distinct sequence at most has no turn
     root = spark.range(1).select(
         F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(None).cast("long").alias("p1"), F.lit(None).cast("long").alias("p2"),
         F.lit(lowest).cast(kind).alias("conv_id"), no_parent.alias("parent_conv_id"), F.lit(n_all).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("words"),
+        F.lit(ended.ends_sha256 if ended else NOTHING).alias("ends_sha256"),
     )
     keep = ["conv_id", "n_convs", "ends_sha256", "digests", "words"]
     above = [F.lit(0).cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"), F.lit(lowest).cast(kind).alias("parent_conv_id")]
     going = rows.where(turns > 0).select(*keep, *above)
-    spine = [_with_ends(root, rows.where(turns == 0).select(F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), "ends_sha256"))]
+    spine = [materialize(root, "trie-root")]
     closed = []
     while True:
         level = len(spine)
