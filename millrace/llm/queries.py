@@ -41,7 +41,8 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    """Short lines that more than a thousandth of all documents have are boilerplate, no copies; all other lines and runs count."""
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), common=0.001)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from .test_native_ops import brute_exact, brute_targets
 from .test_simhash import brute_components, brute_fingerprint, close
 
 
-def brute_passages(texts, paragraph=substring_dedup.PARAGRAPH, run=51):
-    """texts: (id, text), ids unique, in their order. The job said again by words and pairs.
+def brute_passages(texts, paragraph=5, run=51, common=None):
+    """texts: (id, text), ids unique, in their order. The job said again by words and pairs; common: documents that may share a short line.
 
     Returns of each document the words that go, those that stay as a first copy, its words, and the runs that must stay.
     """
@@ -37,6 +37,8 @@ def brute_passages(texts, paragraph=substring_dedup.PARAGRAPH, run=51):
         classes[low[sets[f[3]]]].append(f[:3])
     lost, stay = ([[False] * len(w) for w in words] for _ in range(2))
     for own in classes.values():
+        if common is not None and len({d for d, _, _ in own}) > common and max(size for _, _, size in own) < 15:
+            continue
         if len({d for d, _, _ in own}) > 1:
             for n, (d, at, size) in enumerate(sorted(own)):
                 (lost if n else stay)[d][at : at + size] = [True] * size
@@ -55,12 +57,12 @@ def brute_passages(texts, paragraph=substring_dedup.PARAGRAPH, run=51):
     return goes, stays, words, shared
 
 
-def check_passages(spark, rows, frame=None):
+def check_passages(spark, rows, frame=None, common=None):
     """Rows by brute force, and that every run that is cut somewhere still stands in the cut texts."""
     texts = [(r[0], r[1]) for r in rows]
-    goes, stays, words, shared = brute_passages(texts)
+    goes, stays, words, shared = brute_passages(texts, common=None if common is None else common * len(texts))
     frame = frame or docs(spark, [(i, t, "s", "en") for i, t in texts])
-    passages = substring_dedup.repeated_passages(frame)
+    passages = substring_dedup.repeated_passages(frame, common=common)
     no, got = {i: d for d, (i, _) in enumerate(texts)}, passages.collect()
     mine = [[set() for _ in texts] for _ in range(2)]
     for r in got:
@@ -85,7 +87,8 @@ def check_passages(spark, rows, frame=None):
 def test_passages_of_the_table(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
-    got = check_passages(spark, rows, documents)
+    check_passages(spark, rows, documents)
+    got = check_passages(spark, rows, documents, common=0.001)
     assert Counter(got) == Counter(Q.op3_substring_dedup(spark, sf).collect()) and any(r.removed for r in got)
 
 
@@ -170,6 +173,28 @@ def test_least_paragraph(spark):
     assert found(5) == found(1) == {(i, 0, 5, i > 0) for i in range(3)} and found(6) == set()
 
 
+def test_short_lines_that_many_documents_have(spark):
+    """With a share of documents as the bound, lines below it go as any other; longer lines always do."""
+    rng = random.Random(12)
+    menu, licence, long = (" ".join(words(rng, n)) for n in (6, 14, 15))
+    rows = [(i, "\n".join([" ".join(words(rng, 30)), *[menu] * (i < 9), *[licence] * (i < 4), *[long] * (i < 9)])) for i in range(20)]
+    for common, kept in ((None, ()), (0.3, (menu,)), (0.1, (menu, licence)), (0.5, ())):
+        check_passages(spark, rows, common=common)
+        frame = docs(spark, [(*r, "s", "en") for r in rows])
+        left = {r.doc_id: r.text for r in substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame, common=common)).collect()}
+        assert [x in left[3] for x in (menu, licence, long)] == [menu in kept, licence in kept, False]
+
+
+def test_shorter_quotes(spark):
+    rng = random.Random(13)
+    quote = words(rng, 25)
+    rows = [(i, " ".join([*words(rng, 40), *quote, *words(rng, 40)]), "s", "en") for i in range(4)]
+    found = lambda n: sorted((r.doc_id, r.start_word, r.n_words, r.removed) for r in substring_dedup.repeated_passages(docs(spark, rows), quote=n).collect())
+    assert found(25) == [(i, 40, 25, i > 0) for i in range(4)] and found(26) == []
+    with pytest.raises(ValueError):
+        found(20)
+
+
 def test_large_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(shared, "CHUNK", 7)
     rng = random.Random(8)
