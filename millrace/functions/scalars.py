@@ -36,16 +36,21 @@ def age_in_words(since: Column, as_of: Column) -> Column:
     days = _leap_years(last) - _leap_years(first)
     days = F.when(days == 0, days).when(leap(first), days - 1).when(leap(last), days + 1).otherwise(days)
     seconds = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(since.cast("timestamp"))) / 1_000_000)
-    left = F.greatest(seconds - days * 86_400, F.lit(0))
-    said = F.lit(f"0{SPACE}minutes")
-    for (unit, size), following in reversed(list(zip(AGE_UNITS, [*AGE_UNITS[1:], None]))):
-        n = F.floor(left / size)
-        words = _counted(n, unit)
-        if following:
-            m = F.floor((left - n * size) / following[1])
-            words = F.when(m > 0, F.concat(words, F.lit(", "), _counted(m, following[0]))).otherwise(words)
-        said = F.when(n > 0, words).otherwise(said)
-    return F.when(seconds.isNotNull(), said)
+
+    def words(left: Column) -> Column:
+        said = F.lit(f"0{SPACE}minutes")
+        for (unit, size), following in reversed(list(zip(AGE_UNITS, [*AGE_UNITS[1:], None]))):
+            n = F.floor(left / size)
+            told = _counted(n, unit)
+            if following:
+                m = F.floor((left - n * size) / following[1])
+                told = F.when(m > 0, F.concat(told, F.lit(", "), _counted(m, following[0]))).otherwise(told)
+            said = F.when(n > 0, told).otherwise(said)
+        return said
+
+    # The seconds are the variable of a lambda, so that they are worked out once and not in each of the branches.
+    left = F.array(F.greatest(seconds - days * 86_400, F.lit(0)))
+    return F.when(seconds.isNotNull(), F.element_at(F.transform(left, words), 1))
 
 
 def _counted(n: Column, unit: str) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.keyed import free_name
 from millrace.sources.workspace import materialize
 
 
@@ -79,12 +80,13 @@ class Components:
         """Adds the first k components of every row; literals and array functions, no shuffle."""
         centred = F.zip_with(F.col(vector).cast("array<double>"), _literal(self.mean), lambda x, m: x - m)
 
+        own = free_name(df, "centred", [out])
+
         def dot(row: np.ndarray) -> Column:
-            products = F.zip_with("__centred", _literal(row), lambda x, y: x * y)
+            products = F.zip_with(own, _literal(row), lambda x, y: x * y)
             return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-        scored = df.withColumn("__centred", centred).withColumn(out, F.array(*[dot(r) for r in self.loadings[:k]]))
-        return scored.drop("__centred")
+        return df.withColumn(own, centred).withColumn(out, F.array(*[dot(r) for r in self.loadings[:k]])).drop(own)
 
     def variance(self, spark: SparkSession) -> DataFrame:
         """(component from 1, ratio)."""

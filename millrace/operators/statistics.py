@@ -58,12 +58,16 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataF
     """One row a column: count, mean, sample deviation, least, quartiles and largest.
 
     One pass aggregates all columns; exact quartiles need a few more (``exact_quantiles``), ``exact=False`` has
-    approximate ones in the same pass. Nulls do not count; columns without a value have nulls. Columns must be finite.
+    approximate ones in the same pass. Nulls and NaN do not count; columns without a value have nulls. An infinite value
+    is an error, since there is no quartile between it and its neighbour.
     """
+    df = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     rough = lambda c: [] if exact else [F.percentile_approx(c, list(QUARTILES), 100_000).alias("q")]
     one = df.agg(*[F.struct(*[f(F.col(c).cast("double")).alias(n) for n, f in stats.items()], *rough(c)).alias(c) for c in columns]).first()
     bounds = {c: (one[c]["count"], one[c]["min"], one[c]["max"]) for c in columns if one[c]["count"]}
+    if infinite := [c for c, (_, low, high) in bounds.items() if math.isinf(low) or math.isinf(high)]:
+        raise ValueError(f"infinite values in {infinite}")
     found = exact_quantiles(df.select(*bounds), bounds, QUARTILES) if exact and bounds else {}
     rows = []
     for c in columns:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.keyed import free_name
+
 #: What may be wrong with a body, or a part.
 NO_BOUNDARY, NO_PART, NO_END, NO_HEADERS = "no boundary in the content type", "no part in the body", "the final boundary is missing", "the headers of the part do not end"
 NOT_BASE64, NO_FIELD = "the part is not base64", "the part has no field name"
@@ -120,7 +122,8 @@ def form_parts(requests: DataFrame, body: str = "body", content_type: str = "con
     A body is one value, so it is read in one task; parts leave it one by one. Columns of the added names are replaced.
     """
     others = [c for c in requests.columns if c not in (body, content_type) and c not in _ADDED]
-    rows = requests.select(*others, F.col(body).cast("binary").alias("__body"), F.col(content_type).cast("string").alias("__type"))
+    kept = requests.select(*others)
+    rows = requests.select(*others, F.col(body).cast("binary").alias(free_name(kept, "body")), F.col(content_type).cast("string").alias(free_name(kept, "type")))
     schema = T.StructType([*rows.schema.fields[: len(others)], *(T.StructField(n, k) for n, (k, _) in _ADDED.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

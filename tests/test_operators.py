@@ -131,6 +131,14 @@ def test_describe_interpolates_quartiles(spark):
     assert statistics.describe(spark.createDataFrame([], "x double"), ["x"]).first()["count"] == 0
 
 
+def test_describe_leaves_nan_out(spark):
+    frame = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (None,)], "x double")
+    got = statistics.describe(frame, ["x"]).first()
+    assert (got["count"], got.q50, got["max"], got["mean"]) == (2, 1.5, 2.0, 1.5)
+    with pytest.raises(ValueError):
+        statistics.describe(spark.createDataFrame([(1.0,), (float("-inf"),)], "x double"), ["x"])
+
+
 def test_quantiles_of_many_values(spark, monkeypatch):
     """Several rounds, ties, nulls, few rows and wide ranges, against NumPy."""
     monkeypatch.setattr(statistics, "BUCKETS", 7)
