@@ -42,7 +42,7 @@ def fit_scaler(df: DataFrame, vector: str) -> Scaler:
 def moments(df: DataFrame, vector: str, dim: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, mean and population covariance. Tasks emit one sum of outer products each; dim * dim values are summed.
 
-    Vectors that are null, of another length or hold a null component are left out.
+    That is a row for each pair of positions and task, which suits some hundreds of positions, not many thousands. Vectors that are null, of another length or hold a null component are left out.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,8 +78,10 @@ def own_profile(users: DataFrame, profiles: DataFrame, user_key: str, profile_ke
 
 
 def missing_profiles(users: DataFrame, profiles: DataFrame, user_key: str, profile_key: str) -> DataFrame:
-    """Users without a profile."""
-    return users.join(profiles, users[user_key] == profiles[profile_key], "left_anti")
+    """Users without a profile; a user without a key has none, and meets no join."""
+    known = users.where(F.col(user_key).isNotNull())
+    missing = known.join(profiles, known[user_key] == profiles[profile_key], "left_anti")
+    return missing.unionByName(users.where(F.col(user_key).isNull()))
 
 
 def insert_missing(profiles: DataFrame, users: DataFrame, profile_key: str, user_key: str, **defaults) -> DataFrame:
