@@ -16,7 +16,7 @@ from millrace.operators import forest, masks, matrix, relational, statistics, vo
 from millrace.plans.registry import Registry
 from millrace.sources.tables import long_features, scan
 from millrace.sources.volumes import scan_files, scan_volumes, to_millimetres, volume_geometry, write_volumes
-from millrace.sources.workspace import fresh_path, materialize, remembered
+from millrace.sources.workspace import fresh_path, inputs_digest, materialize, remembered
 
 R = Registry()
 NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -257,12 +257,12 @@ def a5_exact_split(spark, sf):
     return statistics.exact_split(scan(spark, sf, "embeddings"), "vec_id", 0.2).select("vec_id", "is_test")
 
 
-#: Forests of the session, by application and folder; they are models, not tables, and each is fitted once.
+#: Forests of the session, by application and what the vectors' files are; they are models, not tables, and each is fitted once.
 _fitted: dict[tuple, tuple] = {}
 
 
 def _once(name: str, spark: SparkSession, sf: str, fit: Callable[[], tuple]) -> tuple:
-    key = name, spark.sparkContext.applicationId, sf
+    key = name, spark.sparkContext.applicationId, sf, inputs_digest(spark, [f"{sf}/embeddings.parquet"])
     if key not in _fitted:
         _fitted[key] = fit()
     return _fitted[key]
@@ -272,7 +272,8 @@ def _forest(spark: SparkSession, sf: str) -> tuple:
     """The stored split, and the forest on all features: 100 trees of the greatest depth that Spark has."""
 
     def fit() -> tuple:
-        split = materialize(statistics.exact_split(scan(spark, sf, "embeddings"), "vec_id", 0.2), "forest-split")
+        made = lambda: statistics.exact_split(scan(spark, sf, "embeddings"), "vec_id", 0.2)
+        split = remembered(spark, "forest-split", [f"{sf}/embeddings.parquet"], {"fraction": 0.2, "seed": ""}, made)
         return split, forest.fit_forest(forest.with_features(split.where("not is_test"), "embedding"), trees=100, depth=30)
 
     return _once("all", spark, sf, fit)
