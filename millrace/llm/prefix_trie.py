@@ -27,7 +27,7 @@ def turn_digests(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     """One row a conversation: (conv_id, turns array<struct<digest, words>>), in the order of the turns.
 
     A digest is 128 bits of SHA-256 over role and text; texts themselves are not shuffled. Null numbers come first;
-    turns that share a number, or have none, go by digest.
+    turns that share a number, or have none, go by digest. A conversation is one value and so is gathered in one task.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
     digest = F.substring(F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)), 1, 16)
@@ -40,8 +40,7 @@ def turn_digests(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 def conversation_trie(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """The trie of all conversations of a table of turns; see ``turn_digests`` and ``sequence_trie``.
 
-    Cases: null roles and texts count as empty, so does a missing number come first; turns without a conversation are
-    left out; rows that repeat are turns of their own; an empty table gives no node; other columns are ignored.
+    Cases: null roles and texts count as empty; turns without a conversation are left out; rows that repeat are turns of their own; an empty table gives no node; other columns are ignored.
     """
     return sequence_trie(turn_digests(turns, conv_col, turn_col, role_col, text_col))
 
