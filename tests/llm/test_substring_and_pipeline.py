@@ -242,14 +242,15 @@ def test_every_long_enough_stretch_has_an_anchored_window():
 
 def test_passages_awkward(spark):
     got = substring_dedup.repeated_passages(docs(spark, AWKWARD)).collect()
-    assert {(r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got} == {(6, 0, 60_000, 6, False), (7, 0, 60_000, 6, True)}
+    short = {(1, 0, 5, 1, False), (2, 0, 5, 1, True), (8, 0, 5, 1, True)}  # a line of one shingle
+    assert {(r.doc_id, r.start_word, r.n_words, r.keep_id, r.removed) for r in got} == short | {(6, 0, 60_000, 6, False), (7, 0, 60_000, 6, True)}
     empty = docs(spark, [])
     assert substring_dedup.repeated_passages(empty).count() == 0
     for rows in (AWKWARD, []):
         frame = docs(spark, rows).withColumnsRenamed({"KEPT": "Row_Tag", "size": "CUTS"})
         cut = substring_dedup.cut_passages(frame, substring_dedup.repeated_passages(frame))
         assert cut.columns == frame.columns and cut.count() == len(rows)
-        assert Counter(r.text for r in cut.collect()) == Counter("" if r[0] == 7 else r[1] for r in rows)
+        assert Counter(r.text for r in cut.collect()) == Counter("" if r[0] in (2, 7, 8) else r[1] for r in rows)
     lost = " ".join(f"n{i}" for i in range(80))
     got = substring_dedup.repeated_passages(docs(spark, [(None, lost, None, None), (3, "x " + lost, None, None), (3, "x " + lost, None, None)]))
     assert Counter((r.doc_id, r.keep_id, r.removed) for r in got.collect()) == {(None, 3, True): 1, (3, 3, False): 1}
