@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.keyed import free_name
+from millrace.sources.workspace import fresh_path, materialize, stored_path
+
+#: Rows times trees of a part, and parts that grow at a time. A row costs the driver up to some 600 bytes a tree while it grows.
+GROWN, PARALLEL = 50_000, 4
+#: Rows of a task. Every task has a histogram of its own for each node that grows, so fewer tasks have less to sum.
+TASK_ROWS = 50_000
+
+
+def _each(spark: SparkSession, count: int, run: Callable[[int], object], workers: int) -> list:
+    """What ``run`` returns for each number, jobs of some numbers at a time."""
+    with ThreadPool(max(1, min(workers, count))) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), range(count), chunksize=1)
+
 
 def with_features(df: DataFrame, vector: str, positions: Sequence[int] | None = None, out: str = "features") -> DataFrame:
     """Adds the ML vector of an array column, of all positions or of some."""
@@ -18,17 +37,75 @@ def with_features(df: DataFrame, vector: str, positions: Sequence[int] | None =
     return df.withColumn(out, array_to_vector(values))
 
 
-def fit_forest(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42, memory_mb: int = 1024) -> RandomForestClassificationModel:
+@dataclass(frozen=True)
+class Forest:
+    """A forest in stored parts; the driver loads ``parallel`` parts at a time."""
+
+    parts: tuple[str, ...]
+    getNumTrees: int  # noqa: N815
+    maxDepth: int  # noqa: N815
+    numFeatures: int  # noqa: N815
+    featureImportances: np.ndarray  # noqa: N815
+    parallel: int = 1
+
+    def getOrDefault(self, name: str) -> int:  # noqa: N802
+        return getattr(self, name)
+
+    def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds ``votes``, the classes' shares summed over all trees, and ``prediction``, the first class that has most.
+
+        Each part votes on all rows, and its votes are stored; then the parts' votes of a row are summed in their order.
+        """
+        spark, row = df.sparkSession, free_name(df, "row", ["votes", "prediction", "part"])
+        rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "forest-rows")
+        folder = fresh_path(spark, "forest-votes")
+
+        def vote(no: int) -> str:
+            part = RandomForestClassificationModel.load(self.parts[no]).setFeaturesCol(features)
+            part = part.setPredictionCol("").setProbabilityCol("").setRawPredictionCol("votes")
+            own = part.transform(rows.select(row, features)).select(row, F.lit(no).alias("part"), vector_to_array("votes").alias("votes"))
+            own.write.parquet(f"{folder}/{no}")
+            return f"{folder}/{no}"
+
+        stored = spark.read.schema(f"`{row}` long, part int, votes array<double>").parquet(*_each(spark, len(self.parts), vote, self.parallel))
+        by_part = F.array_sort(F.collect_list(F.struct("part", "votes")))
+        listed = stored.groupBy(row).agg(F.transform(by_part, lambda p: p["votes"]).alias("votes"))
+        total = F.aggregate(F.slice("votes", 2, len(self.parts)), F.col("votes")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        summed = listed.select(row, total.alias("votes"))
+        first = (F.array_position("votes", F.array_max("votes")) - 1).cast("double")
+        return rows.join(summed.withColumn("prediction", first), row).drop(row)
+
+
+def fit_forest(df: DataFrame, label: str = "label", trees: int = 100, depth: int = 10, seed: int = 42, memory_mb: int = 256, grown: int = GROWN) -> Forest:
     """Trees of one level grow together, from histograms that the tasks sum; depth bounds the size of the model.
 
+    A tree may have as many nodes as there are rows, and the driver holds the trees that grow. So they are fitted in
+    parts of as many trees as have ``grown`` rows together, one tree at least, PARALLEL parts at a time or fewer if they are
+    larger, and each is stored in the shared folder when it is done: whatever the number of trees, the driver holds the nodes
+    of PARALLEL * ``grown`` rows, or one tree's. Each part is a forest of Spark's with a seed of its own, the first with ``seed``.
+
     ``memory_mb`` bounds the histograms of one pass, so more of it means fewer passes over the rows. Tasks remember the
     node that each row has reached in each tree instead of walking down from the root again.
     """
-    learner = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return learner.setMaxMemoryInMB(memory_mb).setCacheNodeIds(True).fit(df)
+    spark, n = df.sparkSession, max(df.count(), 1)
+    each = max(1, min(trees, grown // n))
+    sizes, folder = [min(each, trees - at) for at in range(0, trees, each)], stored_path(spark, "forest")
+    workers = max(1, min(PARALLEL, PARALLEL * grown // (each * n)))
+    rows = df.select("features", label).coalesce(math.ceil(n / TASK_ROWS))
+
+    def fit(no: int) -> tuple[str, np.ndarray]:
+        learner = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=sizes[no], maxDepth=depth, seed=seed + 1_000_003 * no)
+        model = learner.setMaxMemoryInMB(memory_mb).setCacheNodeIds(True).fit(rows)
+        model.write().save(f"{folder}/{no}")
+        # Spark's importances of a forest are the mean over its trees that split at all.
+        return f"{folder}/{no}", model.featureImportances.toArray() * sum(t.numNodes > 1 for t in model.trees)
+
+    paths, gains = zip(*_each(spark, len(sizes), fit, workers))
+    total = np.sum(gains, axis=0)
+    return Forest(paths, trees, depth, len(total), total / (total.sum() or 1.0), workers)
 
 
-def importance(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
+def importance(model: Forest, df: DataFrame) -> DataFrame:
     """(pos, importance), largest first; the importances sum to 1."""
-    rows = [(i, float(x)) for i, x in enumerate(model.featureImportances.toArray())]
+    rows = [(i, float(x)) for i, x in enumerate(model.featureImportances)]
     return df.sparkSession.createDataFrame(rows, "pos int, importance double").orderBy(F.desc("importance"), "pos")

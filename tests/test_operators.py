@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as fn
@@ -261,6 +262,25 @@ def test_forests_are_fitted_once(spark, sf, monkeypatch):
     assert feature_queries.a7_refit_accuracy(spark, sf).count() == 1 and feature_queries.g9_importance(spark, sf).count() == 64
 
 
+def test_forests_grow_in_stored_parts(spark, sf):
+    """The driver never holds more than one part's trees; votes and importances are those of all parts."""
+    rows = forest.with_features(spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 200"), "embedding")
+    model = forest.fit_forest(rows, trees=7, depth=4, grown=400)
+    parts = [RandomForestClassificationModel.load(p) for p in model.parts]
+    assert [p.getNumTrees for p in parts] == [2, 2, 2, 1] and model.getNumTrees == 7
+    assert len({t.toDebugString.split("\n", 1)[1] for p in parts for t in p.trees}) == 7
+    weighed = sum(p.featureImportances.toArray() * p.getNumTrees for p in parts) / 7
+    assert model.featureImportances == pytest.approx(weighed) and sum(model.featureImportances) == pytest.approx(1)
+    got = {r.vec_id: r for r in model.transform(rows).collect()}
+    want = dict.fromkeys(got, 0)
+    for part in parts:
+        for r in part.transform(rows).collect():
+            want[r.vec_id] = want[r.vec_id] + r.rawPrediction.toArray()
+    assert len(got) == 200
+    for i, votes in want.items():
+        assert got[i].votes == pytest.approx(votes) and sum(votes) == pytest.approx(7) and votes[int(got[i].prediction)] == pytest.approx(max(votes))
+
+
 def test_smoothing_keeps_the_sum_inside(spark):
     cells = [(x, y, z, 0, 1.0 if (x, y, z) == (3, 3, 3) else 0.0) for x in range(7) for y in range(7) for z in range(7)]
     out = volumes.smooth(spark.createDataFrame(cells, "x int, y int, z int, t int, value double"), fwhm=2)
