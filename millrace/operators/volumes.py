@@ -10,21 +10,31 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.keyed import free_name
+from millrace.sources.batches import bound_batches, lean_worker
+
 PLACE = ("x", "y", "z")
 SERIES = "series"
+#: Places of a line that are smoothed together, at least; values that a worker smooths at a time.
+PIECE, VALUES = 256, 1 << 18
 
 
 def mean_image(volume: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return volume.groupBy(*keys, *PLACE).agg(F.avg("value").alias("mean_value"))
 
 
+#: Widths at half the height in a deviation.
+_WIDTH = math.sqrt(8 * math.log(2))
+
+
 def gaussian_weights(fwhm: float, voxel: float = 1.0) -> list[tuple[int, float]]:
     """Offsets along an axis, up to four deviations, and their weights, which sum to 1."""
-    sigma = fwhm / voxel / math.sqrt(8 * math.log(2))
+    sigma = fwhm / voxel / _WIDTH
     reach = math.floor(4 * sigma + 0.5)
     axis = {d: math.exp(-(d**2) / (2 * sigma**2)) if sigma else 1.0 for d in range(-reach, reach + 1)}
     return [(d, w / sum(axis.values())) for d, w in axis.items()]
@@ -60,6 +70,7 @@ def to_series(volume: DataFrame, keys: Sequence[str] = (), steps: int | None = N
             values[at], known[at] = np.asarray(flat.field("value")), True  # rows of a step go by value, so the largest is last
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(values, known, steps)], names=batch.schema.names)
 
+    bound_batches(volume.sparkSession)
     return listed.mapInArrow(run, T.StructType(fields))
 
 
@@ -98,6 +109,7 @@ def _by_row(series: DataFrame, change: Callable[[np.ndarray, np.ndarray], np.nda
                 columns[at] = _lists(change(values, known).ravel(), known.ravel(), size) if size else column
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
+    bound_batches(series.sparkSession)
     return series.mapInArrow(run, series.schema)
 
 
@@ -109,7 +121,8 @@ def smooth_series(series: DataFrame, fwhm: float, voxel: float | Sequence[float]
 
     ``voxel`` is the length of a voxel's edges: one number, three, or the name of a column array<double> with the three
     of the row's image; so an axis has a kernel of its own. Along an axis the series of a line of voxels are gathered
-    and the matrix of weights between their places is applied to them: three shuffles, each of the data once. Places
+    in pieces of 256 places, or of as many as the kernel reaches to a side, and what it reaches beside them: three shuffles,
+    each of the data once and, of lines of several pieces, the voxels near their ends twice. No task holds a line as a whole. Places
     inside an image's box that have no voxel take part on the way, since what is spread to them is spread on from there.
     Missing steps count as 0 and are missing again in the result, which has the voxels that came in.
     """
@@ -125,54 +138,83 @@ def smooth_series(series: DataFrame, fwhm: float, voxel: float | Sequence[float]
     else:
         box = series.agg(*ends).first()
         out = out.withColumn("box", F.array(*[F.array(*[F.lit(n).cast("long") for n in own or (0, -1)]) for own in box]))
+    bound_batches(series.sparkSession)
     for axis, place in enumerate(PLACE):
         others = [*keys, *(p for p in PLACE if p != place)]
-        lines = out.groupBy(*others).agg(F.collect_list(F.struct(place, SERIES, "known")).alias("line"), *[F.first(c).alias(c) for c in ("box", *held)])
+        reach, size = free_name(out, "reach"), free_name(out, "size")
+        cut = out.withColumn(reach, _reach(fwhm, F.col(voxel)[axis] if by_image else F.lit(fixed[axis])))
+        cut = cut.withColumn(size, F.greatest(F.lit(PIECE).cast("long"), reach))
+        piece = free_name(cut, "piece")
+        number = lambda at: F.floor(F.greatest(F.lit(0), F.least(at, F.col("box")[axis][1]) - F.col("box")[axis][0]) / F.col(size))
+        cut = cut.withColumn(piece, F.explode(F.sequence(number(F.col(place) - F.col(reach)), number(F.col(place) + F.col(reach)))))
+        span = F.col("box")[axis][0] + F.col(piece) * F.col(size)
+        cut = cut.withColumn(reach, F.array(span, F.least(span + F.col(size) - 1, F.col("box")[axis][1])))
+        lines = cut.groupBy(*others, piece).agg(F.collect_list(F.struct(place, SERIES, "known")).alias("line"), F.first(reach).alias("span"), *[F.first(c).alias(c) for c in ("box", *held)])
         schema = T.StructType([out.schema[c] for c in (*others, "box", *held, place, SERIES, "known")])
-        out = lines.select(*others, "box", *held, "line").mapInArrow(_along(place, axis, fwhm, fixed[axis], voxel if by_image else None), schema)
+        out = lines.select(*others, "box", *held, "span", "line").mapInArrow(_along(place, axis, fwhm, fixed[axis], voxel if by_image else None), schema)
     out = out.where("known is not null")
     missing = F.when(F.size("known") > 0, F.zip_with(SERIES, "known", lambda v, k: F.when(k, v))).otherwise(F.col(SERIES))
     return out.select(*keys, *[F.col(p).cast(kinds[p]).alias(p) for p in PLACE], missing.alias(SERIES), *held)
 
 
+def _reach(fwhm: float, edge: Column) -> Column:
+    """The largest offset of ``gaussian_weights``; one more, so that the last digit of a division does not count."""
+    return F.floor(4 * (F.lit(float(fwhm)) / edge / _WIDTH) + 0.5) + 1
+
+
 def _along(place: str, axis: int, fwhm: float, edge: float, voxel: str | None) -> Callable:
-    """Smooths lines (others, box, line of (place, series, known)) to rows (others, place, series, known), a row for each place of the box."""
+    """Smooths pieces of lines (others, box, held, span, line of (place, series, known)) to rows (others, box, held, place, series, known),
+    a row for each place of the span; what the line has beside its span only weighs in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernels: dict[tuple, np.ndarray] = {}
+        lean_worker()
+        kernels: dict[float, list[tuple[int, float]]] = {}
+        for whole in batches:
+            done = 0
+            while done < whole.num_rows:
+                spans, steps = whole.column(whole.num_columns - 2).slice(done), max(1, _steps(whole.column(whole.num_columns - 1)))
+                low, high = (np.asarray(pc.list_element(spans, k)) for k in (0, 1))
+                n = max(1, int(np.searchsorted(np.cumsum(high - low + 1) * steps, VALUES, "right")))
+                batch, low, high = whole.slice(done, n), low[:n], high[:n]
+                done += n
+                yield smoothed(batch, low, high, kernels)
+
+    def smoothed(batch: pa.RecordBatch, low: np.ndarray, high: np.ndarray, kernels: dict) -> pa.RecordBatch:
+        line, rest = batch.column(batch.num_columns - 1), batch.columns[:-2]
+        ends, flat = np.asarray(line.offsets), line.flatten()
+        ends, at, column = ends - ends[0], np.asarray(flat.field(place)), flat.field(SERIES)
+        size = len(column.flatten()) // max(len(column), 1)
+        values, _ = _matrix(column, size)
+        edges = [e[axis] for e in batch.column(batch.schema.get_field_index(voxel)).to_pylist()] if voxel else [edge] * len(line)
+        made, source = [], []
+        for no, (a, b) in enumerate(zip(ends, ends[1:])):
+            if edges[no] not in kernels:
+                kernels[edges[no]] = gaussian_weights(fwhm, edges[no])
+            weights, length = kernels[edges[no]], int(high[no] - low[no]) + 1
+            reach = min(weights[-1][0], max(int(at[a:b].max() - low[no]), int(high[no] - at[a:b].min()), 0))
+            dense, of, own = np.zeros((length + 2 * reach, size)), np.full(length + 2 * reach, -1), at[a:b] - low[no] + reach
+            near = (own >= 0) & (own < len(dense))
+            dense[own[near]], of[own[near]] = values[a:b][near], np.arange(a, b)[near]
+            total = np.zeros((length, size))
+            for offset, weight in weights:
+                if abs(offset) <= reach:
+                    total += weight * dense[reach - offset : reach - offset + length]
+            made.append(total)
+            source.append(of[reach : reach + length])
+        row, source = np.repeat(np.arange(len(line)), high - low + 1), np.concatenate(source)
+        places = np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)])
+        result = np.concatenate(made).ravel()
+        known = flat.field("known").take(pa.array(source, mask=source < 0))
+        columns = [pa.array(places), _lists(result, np.ones(len(result), dtype=bool), size), known]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in rest), *columns], names=[*batch.schema.names[:-2], place, SERIES, "known"])
 
-        def kernel(length: int, edge: float) -> np.ndarray:
-            if (length, edge) not in kernels:
-                weights = dict(gaussian_weights(fwhm, edge))
-                kernels[length, edge] = np.array([[weights.get(i - j, 0.0) for j in range(length)] for i in range(length)])
-            return kernels[length, edge]
+    return run
 
-        for batch in batches:
-            line, rest = batch.column(batch.num_columns - 1), batch.columns[:-1]
-            if not len(line):
-                continue
-            ends, flat = np.asarray(line.offsets), line.flatten()
-            ends, at, column = ends - ends[0], np.asarray(flat.field(place)), flat.field(SERIES)
-            size = len(column.flatten()) // max(len(column), 1)
-            values, _ = _matrix(column, size)
-            low, high = (np.array([b[axis][k] for b in batch.column(batch.schema.get_field_index("box")).to_pylist()], dtype=np.int64) for k in (0, 1))
-            edges = [e[axis] for e in batch.column(batch.schema.get_field_index(voxel)).to_pylist()] if voxel else [edge] * len(line)
-            smoothed, source = [], []
-            for no, (a, b) in enumerate(zip(ends, ends[1:])):
-                length = int(high[no] - low[no]) + 1
-                dense, of = np.zeros((length, size)), np.full(length, -1)
-                dense[at[a:b] - low[no]], of[at[a:b] - low[no]] = values[a:b], np.arange(a, b)
-                smoothed.append(kernel(length, edges[no]) @ dense)
-                source.append(of)
-            row = np.repeat(np.arange(len(line)), high - low + 1)
-            source = np.concatenate(source)
-            places = np.concatenate([np.arange(x, y + 1) for x, y in zip(low, high)])
-            result = np.concatenate(smoothed).ravel()
-            known = flat.field("known").take(pa.array(source, mask=source < 0))
-            made = [pa.array(places), _lists(result, np.ones(len(result), dtype=bool), size), known]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in rest), *made], names=[*batch.schema.names[:-1], place, SERIES, "known"])
 
-    return run
+def _steps(line: pa.ListArray) -> int:
+    """The length of the series in lists of (place, series, known)."""
+    flat = line.flatten()
+    return len(flat.field(SERIES).flatten()) // max(len(flat), 1)
 
 
 def smooth(volume: DataFrame, fwhm: float, voxel: float | Sequence[float] = 1.0, keys: Sequence[str] = ()) -> DataFrame:

@@ -174,6 +174,32 @@ def test_kernels_by_the_edges_of_an_image(spark):
     assert all(r.value == pytest.approx(want[r.x, r.y, r.z, r.t]) for r in plain.collect()) and plain.schema["t"].dataType.simpleString() == "int"
 
 
+def test_long_lines_are_smoothed_in_pieces(spark, monkeypatch):
+    """A line of any length leaves in spans that do not grow with it, each with what the kernel reaches beside it; gaps may be longer than that."""
+    rng = np.random.default_rng(4)
+    cells = rng.normal(size=(2, 3, 900, 2))
+    gone = rng.random((2, 3, 900)) < 0.2
+    gone[:, :, 300:640] = True
+    rows = [(*map(int, at), t, float(cells[at][t])) for at in np.ndindex(gone.shape) if not gone[at] for t in range(2)]
+    frame = spark.createDataFrame(rows, "x int, y int, z int, t int, value double")
+    want = np_smooth(np.where(gone[..., None], 0.0, cells), 9.0, (3.0, 3.0, 3.0))
+    for piece in (volumes.PIECE, 7, 1):
+        monkeypatch.setattr(volumes, "PIECE", piece)
+        got = {(r.x, r.y, r.z): r.series for r in volumes.smooth_series(volumes.to_series(frame), 9.0, 3.0).collect()}
+        assert set(got) == {tuple(map(int, at)) for at in np.argwhere(~gone)} and all(np.allclose(v, want[k]) for k, v in got.items())
+    along = volumes._along
+    monkeypatch.setattr(volumes, "PIECE", 256)
+    monkeypatch.setattr(volumes, "_along", lambda *args: lambda batches, run=along(*args): noted(run, batches))
+
+    def noted(run, batches):
+        for batch in batches:
+            for line in batch.column(batch.num_columns - 1):
+                assert len(line) <= 256 + 2 * 7
+            yield from run([batch])
+
+    assert volumes.smooth_series(volumes.to_series(frame), 9.0, 3.0).count() == int((~gone).sum())
+
+
 def test_smoothing_around_absent_voxels(spark):
     """What is spread to a place without a voxel is spread on from there, as in an array that has 0 there."""
     rng = np.random.default_rng(7)
