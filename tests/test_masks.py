@@ -5,12 +5,14 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import masks, matrix, volumes
 from millrace.plans import feature_queries
 from millrace.sources import volumes as source
+from millrace.sources.batches import BATCH
 
 STEPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
@@ -200,6 +202,21 @@ def test_long_lines_are_smoothed_in_pieces(spark, monkeypatch):
     assert volumes.smooth_series(volumes.to_series(frame), 9.0, 3.0).count() == int((~gone).sum())
 
 
+def test_files_reach_workers_in_bounded_batches(spark):
+    """Not all files of a partition at once, but 8 MB of them, or one larger one."""
+    files = spark.range(6, numPartitions=1).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.lit(bytes(5 << 20)).alias("content"))
+    before = {c: spark.conf.get(c) for c in BATCH}
+    try:
+        for c in BATCH:
+            spark.conf.unset(c)
+        source.volume_rows(files)
+        held = files.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sum(r.n for r in held) == 6 and max(r.n for r in held) <= 2
+
+
 def test_smoothing_around_absent_voxels(spark):
     """What is spread to a place without a voxel is spread on from there, as in an array that has 0 there."""
     rng = np.random.default_rng(7)
