@@ -185,6 +185,22 @@ def test_short_lines_that_many_documents_have(spark):
         assert [x in left[3] for x in (menu, licence, long)] == [menu in kept, licence in kept, False]
 
 
+def test_short_lines_that_many_documents_have_are_told_exactly(spark):
+    """What the bound leaves out and what it leaves in are together what there is without it."""
+    rng = random.Random(15)
+    menu, licence, long = (" ".join(words(rng, n)) for n in (10, 14, 15))
+    near = menu.replace(menu.split()[0], "edited")
+    rows = [(i, "\n".join([" ".join(words(rng, 30)), *[near if i == 3 else menu] * (i < 9), *[licence] * (i < 4), *[long] * (i < 9)]), "s", "en") for i in range(20)]
+    frame = docs(spark, rows)
+    told = lambda common: Counter(tuple(r) for r in substring_dedup.repeated_passages(frame, common=common).collect())
+    rest = lambda common: Counter((*tuple(r)[:-1], not r.first) for r in substring_dedup.common_lines(frame, common).collect())
+    every = told(None)
+    for common, n in ((0.3, 8), (0.1, 12), (0.5, 0), (0.0, 12)):
+        left_out = rest(common)
+        assert told(common) + left_out == every and sum(left_out.values()) == n
+    assert rest(0.1).keys() == {r for r in every if r[3] < 15} and {"op3_substring_dedup", "common_lines"} <= set(Q.queries())
+
+
 def test_shorter_quotes(spark):
     rng = random.Random(13)
     quote = words(rng, 25)
