@@ -10,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as fn
-from millrace.operators import forest, matrix, relational, statistics, volumes
+from millrace.operators import forest, matrix, relational, statistics, trees, volumes
 from millrace.plans import feature_queries, relational_queries
 from millrace.sources import uploads
 from millrace.sources import volumes as source
@@ -308,3 +308,65 @@ def test_component_queries_run(spark, sf):
     assert feature_queries.a4_loadings(spark, sf).count() == 64
     cut = feature_queries.a9_vector_components(spark, sf)
     assert cut.where("value <> 0 and abs(value) < 0.8").count() == 0 and cut.count() == 5000
+
+
+def test_nodes_of_many_rows_are_split_from_summed_histograms(spark, sf):
+    """No task has a node of more than ``grown`` rows; Spark's class reads the whole trees and votes alike."""
+    rows = forest.with_features(spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 300"), "embedding")
+    model = forest.fit_forest(rows, trees=5, depth=6, grown=60)
+    assert all(len(top.left) > 1 for top in model.tops)
+    sizes = model.subtrees().select(F.expr("aggregate(counts, 0L, (a, x) -> a + x)").alias("n")).collect()
+    assert len(sizes) > 10 and max(r.n for r in sizes) <= 60
+    got, want, weighed = {r.vec_id: r.votes for r in model.transform(rows).collect()}, {}, 0
+    parts = [RandomForestClassificationModel.load(p) for p in model.parts]
+    assert [p.getNumTrees for p in parts] == [1] * 5 and all(t.depth == 6 for p in parts for t in p.trees)
+    for part in parts:
+        weighed = weighed + part.featureImportances.toArray() / 5
+        for r in part.transform(rows).collect():
+            want[r.vec_id] = want.get(r.vec_id, 0) + r.rawPrediction.toArray()
+    assert len(got) == 300 and all(got[i] == pytest.approx(v) for i, v in want.items())
+    assert model.featureImportances == pytest.approx(weighed)
+
+
+def test_every_part_tries_the_root_of_the_features(spark):
+    """A part of one tree tries as many features a node as one of many; Spark's learner alone tries all for a single tree."""
+    rng = np.random.default_rng(8)
+    rows = [(v.tolist(), int(v[0] > 0)) for v in rng.standard_normal((200, 16))]
+    df = forest.with_features(spark.createDataFrame(rows, "v array<double>, label int"), "v")
+    parts = [RandomForestClassificationModel.load(p) for p in forest.fit_forest(df, trees=8, depth=2, grown=200).parts]
+    assert [p.getNumTrees for p in parts] == [1] * 8
+    assert sum("If (feature 0 <=" in p.trees[0].toDebugString.split("\n")[1] for p in parts) < 8
+
+
+def test_forest_splits_are_the_best_ones():
+    """A subtree's splits against all splits tried one by one; its leaves hold every row's weight."""
+    rng = np.random.default_rng(5)
+    bins, y, w = rng.integers(0, 9, (200, 4)).astype(np.uint8), rng.integers(0, 3, 200), rng.integers(1, 4, 200)
+    made = trees.grow(bins, y, w, 3, 4, 30, np.random.default_rng(0))
+
+    def score(side):
+        counts = np.bincount(y[side], w[side], 3)
+        return (counts**2).sum() / counts.sum() if side.any() else 0
+
+    def check(node, rows):
+        if made.left[node] < 0:
+            held = {c: n for i, c, n in zip(made.leaf, made.cls, made.count) if i == node}
+            assert held == {c: w[rows & (y == c)].sum() for c in set(y[rows])}
+            return
+        sides = [(rows & (bins[:, f] <= b), rows & (bins[:, f] > b)) for f in range(4) for b in range(8)]
+        own = bins[:, made.feature[node]] <= made.split[node]
+        assert score(rows & own) + score(rows & ~own) == pytest.approx(max(score(x) + score(z) for x, z in sides if x.any() and z.any()))
+        check(made.left[node], rows & own), check(made.left[node] + 1, rows & ~own)
+
+    check(0, np.ones(200, bool))
+
+
+def test_forest_of_separable_classes_is_right(spark):
+    """Few values a feature are bins of their own; a large node of one class ends above and still votes."""
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i % 7), 1.0], i % 3 if i % 3 < 2 else 4) for i in range(600)], "i long, v array<double>, label int")
+    model = forest.fit_forest(forest.with_features(rows, "v"), trees=5, depth=8, grown=50)
+    got = model.transform(forest.with_features(rows, "v")).collect()
+    assert len(got) == 600 and any(top.ends for top in model.tops) and model.classes == 5
+    assert sum(r.prediction == r.label for r in got) == 600 and all(sum(r.votes) == pytest.approx(5) for r in got)
+    with pytest.raises(ValueError):
+        forest.fit_forest(forest.with_features(rows.where("i < 0"), "v"))
