@@ -310,6 +310,16 @@ def test_component_queries_run(spark, sf):
     assert cut.where("value <> 0 and abs(value) < 0.8").count() == 0 and cut.count() == 5000
 
 
+def test_importance_needs_no_node_in_the_driver(spark, sf, monkeypatch):
+    """The importances come from sums of the subtrees' gains; Spark's class, which holds whole trees in the driver, is never asked for."""
+    monkeypatch.setattr(forest, "_spark_models", None)
+    monkeypatch.setattr(RandomForestClassificationModel, "load", None)
+    monkeypatch.setattr(feature_queries, "_fitted", {})
+    got = feature_queries.g9_importance(spark, sf).collect()
+    assert len(got) == 64 and sum(r.importance for r in got) == pytest.approx(1, abs=1e-4)
+    assert [k[0] for k in feature_queries._fitted] == ["all"]
+
+
 def test_nodes_of_many_rows_are_split_from_summed_histograms(spark, sf):
     """No task has a node of more than ``grown`` rows; Spark's class reads the whole trees and votes alike."""
     rows = forest.with_features(spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 300"), "embedding")
