@@ -320,6 +320,17 @@ def test_importance_needs_no_node_in_the_driver(spark, sf, monkeypatch):
     assert [k[0] for k in feature_queries._fitted] == ["all"]
 
 
+def test_refit_has_the_ten_best_features_alone(spark, sf):
+    """The second forest is grown in stored subtrees as well, and votes on every test row once, by all of its trees."""
+    top, small = feature_queries._small_forest(spark, sf)
+    assert small.subtrees().select("tree").distinct().count() == 100
+    split = feature_queries._forest(spark, sf)[0].where("is_test")
+    votes = small.transform(forest.with_features(split, "embedding", top)).collect()
+    assert len({r.vec_id for r in votes}) == len(votes) == split.count() and all(sum(r.votes) == pytest.approx(100) for r in votes)
+    right = sum(r.prediction == r.label for r in votes) / len(votes)
+    assert feature_queries.a7_refit_accuracy(spark, sf).first()[0] == pytest.approx(right)
+
+
 def test_nodes_of_many_rows_are_split_from_summed_histograms(spark, sf):
     """No task has a node of more than ``grown`` rows; Spark's class reads the whole trees and votes alike."""
     rows = forest.with_features(spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 300"), "embedding")
